@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settle(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """``keep`` plus new columns that are finished values from here on.
+
+    Between plain selects Catalyst may merge steps and repeat an expensive
+    expression at each use. It does not look through a generator, so the new
+    columns pass through a one-row ``inline``.
+    """
+    made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select(*keep, F.inline(made))
+
+
 def numbered(items: Column) -> Column:
     """``array<struct<at,item>>`` with positions from 0."""
     return F.transform(items, lambda x, i: F.struct(i.alias("at"), x.alias("item")))

@@ -8,12 +8,9 @@ number is a proper dotted prefix of its own.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stackleaf.functions.arrays import let
 from stackleaf.functions.text import BLANK_CLASS
 
 # Fixed value: joins the parts of a heading path.
@@ -50,39 +47,3 @@ def parent_path(parts: Column) -> Column:
     return F.when(F.size(parts) < 2, F.lit("")).otherwise(
         path(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
     )
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def open_positions(numbers: pd.Series) -> pd.Series:
-    """For each position of a document, the positions of the headings open
-    there (outermost first). Input: section number per position, empty for an
-    unnumbered heading, NULL where there is no heading. Only numbers go to
-    Python; the heading texts stay in the JVM and are looked up by position.
-    """
-
-    def walk(row):
-        opened, seen = [], []
-        for at, number in enumerate(row):
-            if number is not None:
-                opened = [
-                    (n, p) for n, p in opened if n and number.startswith(n + ".")
-                ]
-                opened.append((number, at))
-            seen.append([p for _, p in opened])
-        return seen
-
-    return numbers.map(walk)
-
-
-def open_paths(headings: Column) -> Column:
-    """Heading path (array of headings) at every position of an in-row heading
-    list; blank entries carry the last path on."""
-    numbers = F.transform(
-        headings, lambda h: F.when(F.coalesce(h, F.lit("")) != "", section_number(h))
-    )
-    return let(
-        F.struct(headings.alias("texts"), open_positions(numbers).alias("open")),
-        lambda d: F.transform(
-            d["open"], lambda ps: F.transform(ps, lambda p: F.get(d["texts"], p))
-        ),
-    )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackleaf.functions import text as tx
-from stackleaf.functions.arrays import last_of_each, let, numbered
+from stackleaf.functions.arrays import last_of_each, let, numbered, settle
 
 PARAGRAPH, SENTENCE = 0, 1
 DEFAULT_CAP = 1024
@@ -46,7 +46,7 @@ def greedy_starts(cap: int):
     return starts
 
 
-def explode_units(texts: Column, sizes: Column, cap: int, counter: tx.Counter) -> Column:
+def explode_units(texts: Column, sizes: Column, cap: int) -> Column:
     """One array of units: a text within the cap as it is, a longer one as its
     sentences. Fields: ``kind``, ``para`` (position of the text), ``text``."""
     pairs = F.arrays_zip(texts.alias("t"), sizes.alias("n"))
@@ -101,17 +101,19 @@ def pack_documents(
     ``chunk_index, total_chunks, kind, text``.
     """
     counter = counter or tx.word_counter()
-    paras = docs.select(*keep, tx.paragraphs(F.col(text), separator).alias("_paras"))
+    paras = settle(docs, keep, _paras=tx.paragraphs(F.col(text), separator))
     sized = paras.withColumn("_sizes", counter(F.col("_paras")))
-    units = sized.select(
-        *keep, explode_units(F.col("_paras"), F.col("_sizes"), cap, counter).alias("_units")
+    units = settle(
+        sized, keep, _units=explode_units(F.col("_paras"), F.col("_sizes"), cap)
     )
-    counted = units.withColumn("_n", counter(F.col("_units.text")))
     # paragraphs share run -1; the sentences of a paragraph share its position
     run = F.transform(
         F.col("_units"), lambda u: F.when(u["kind"] == SENTENCE, u["para"]).otherwise(F.lit(-1))
     )
-    bounded = counted.withColumn("_starts", greedy_starts(cap)(run, F.col("_n")))
+    counted = settle(
+        units.withColumn("_n", counter(F.col("_units.text"))), [*keep, "_units", "_n"], _run=run
+    )
+    bounded = counted.withColumn("_starts", greedy_starts(cap)(F.col("_run"), F.col("_n")))
     chunks = let(
         F.struct(
             F.col("_units.kind").alias("kinds"),

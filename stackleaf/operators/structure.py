@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackleaf.functions import headings as hd
 from stackleaf.functions import text as tx
-from stackleaf.functions.arrays import last_of_each, let, numbered
+from stackleaf.functions.arrays import last_of_each, let, numbered, settle
 from stackleaf.operators.chunking import (
     DEFAULT_CAP,
     PARAGRAPH,
     SENTENCE,
-    greedy_starts,
     spans,
 )
 from stackleaf.operators.ordered import previous, running_sum
@@ -105,6 +105,48 @@ def contextualize(parents: Column, heading: Column, text: Column) -> Column:
     return F.concat_ws("\n", full(parents), full(heading), text)
 
 
+def place_chunks(cap: int, merge_peers: bool):
+    """UDF: where chunks start among the pieces of a document, and which
+    headings are open there.
+
+    Per unit: ``numbers`` (section number, empty if unnumbered, NULL if the
+    unit is no heading) and ``marks`` (hash of the heading). Per piece:
+    ``kinds``, ``paras`` (its unit) and ``n`` (tokens). Texts stay in the JVM;
+    open headings come back as unit positions.
+    """
+
+    def place(numbers, marks, kinds, paras, sizes):
+        def walk(numbers, marks, kinds, paras, sizes):
+            starts, opens = [], []
+            opened, unit, path, total, last = [], 0, (), 0, None
+            pieces = zip(kinds.tolist(), paras.tolist(), sizes.tolist())
+            for at, (kind, para, size) in enumerate(pieces):
+                while unit < para:
+                    number = numbers[unit]
+                    if number is not None:
+                        opened = [o for o in opened if o[0] and number.startswith(o[0] + ".")]
+                        opened.append((number, unit))
+                        path = tuple(marks[p] for _, p in opened)
+                    unit += 1
+                owner = -1 if merge_peers and kind == PARAGRAPH else para
+                here = (path, owner)
+                if here != last or total + size > cap:
+                    starts.append(at)
+                    opens.append([p for _, p in opened])
+                    total = 0
+                total += size
+                last = here
+            return starts, opens
+
+        rows = [walk(*row) for row in zip(numbers, marks, kinds, paras, sizes)]
+        return pd.DataFrame(rows, columns=["starts", "open"])
+
+    place.__annotations__ = dict.fromkeys(
+        ("numbers", "marks", "kinds", "paras", "sizes"), pd.Series
+    ) | {"return": pd.DataFrame}
+    return F.pandas_udf(place, "starts array<int>, open array<array<int>>")
+
+
 def chunk_blocks(
     docs: DataFrame,
     *,
@@ -128,72 +170,69 @@ def chunk_blocks(
     parent_headings, page_numbers``.
     """
     counter = counter or tx.word_counter()
-    units = docs.select(*keep, list_runs(F.col(blocks), merge_list_items).alias("_units"))
-    titles = F.transform(
-        "_units", lambda u: F.when(u["kind"] == "heading", u["text"]).otherwise(F.lit(""))
+    units = settle(docs, keep, _units=list_runs(F.col(blocks), merge_list_items))
+    titled = F.transform(
+        "_units", lambda u: F.when((u["kind"] == "heading") & (u["text"] != ""), u["text"])
     )
-    placed = units.select(
-        *keep,
-        F.filter(
-            F.zip_with(
-                "_units",
-                hd.open_paths(titles),
-                lambda u, p: F.struct(
-                    u["kind"].alias("kind"),
-                    u["text"].alias("text"),
-                    u["pages"].alias("pages"),
-                    p.alias("path"),
-                ),
+    content = F.filter(
+        F.transform(
+            "_units",
+            lambda u, i: F.struct(
+                u["kind"].alias("kind"), i.alias("para"), u["text"].alias("text"), u["pages"].alias("pages")
             ),
-            lambda u: u["kind"] != "heading",
-        ).alias("_items"),
+        ),
+        lambda u: u["kind"] != "heading",
     )
-    sized = placed.withColumn("_sizes", counter(F.col("_items.text")))
+    parted = settle(units, keep, _titles=titled, _items=content)
+    sized = parted.withColumn("_sizes", counter(F.col("_items.text")))
 
-    def piece(kind: int, at: Column, item: Column, text: Column) -> Column:
+    def piece(kind: int, item: Column, text: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
-            at.cast("int").alias("para"),
+            item["para"].cast("int").alias("para"),
             text.alias("text"),
             item["pages"].alias("pages"),
-            item["path"].alias("path"),
         )
 
     pairs = F.arrays_zip(F.col("_items").alias("item"), F.col("_sizes").alias("n"))
-    pieces = sized.select(
-        *keep,
-        F.flatten(
+    pieces = settle(
+        sized,
+        [*keep, "_titles"],
+        _pieces=F.flatten(
             F.transform(
                 pairs,
-                lambda z, i: F.when(
-                    z["n"] <= cap, F.array(piece(PARAGRAPH, i, z["item"], z["item"]["text"]))
+                lambda z: F.when(
+                    z["n"] <= cap, F.array(piece(PARAGRAPH, z["item"], z["item"]["text"]))
                 ).otherwise(
                     F.transform(
-                        tx.sentences(z["item"]["text"]), lambda s: piece(SENTENCE, i, z["item"], s)
+                        tx.sentences(z["item"]["text"]), lambda s: piece(SENTENCE, z["item"], s)
                     )
                 ),
             )
-        ).alias("_pieces"),
-    ).withColumn("_n", counter(F.col("_pieces.text")))
-
-    def run(p: Column) -> Column:
-        together = (p["kind"] == PARAGRAPH) & F.lit(merge_peers)
-        owner = F.when(together, F.lit(-1)).otherwise(p["para"])
-        return F.xxhash64(hd.path(p["path"]), owner)
-
-    bounded = pieces.withColumn(
-        "_starts", greedy_starts(cap)(F.transform("_pieces", run), F.col("_n"))
+        ),
+        _numbers=F.transform("_titles", hd.section_number),
+        _marks=F.transform("_titles", lambda t: F.xxhash64(t)),
+    )
+    own = [*keep, "_titles", "_pieces"]
+    counted = settle(
+        pieces.withColumn("_n", counter(F.col("_pieces.text"))),
+        [*own, "_n", "_numbers", "_marks"],
+        _kinds=F.col("_pieces.kind"),
+        _paras=F.col("_pieces.para"),
+    )
+    placed = counted.select(
+        *own,
+        place_chunks(cap, merge_peers)("_numbers", "_marks", "_kinds", "_paras", "_n").alias("_at"),
     )
 
-    def chunk(b: Column, d: Column) -> Column:
+    def chunk(b: Column, i: Column, d: Column) -> Column:
         members = F.slice(d["pieces"], b["start"] + 1, b["len"])
-        first = F.get(members, F.lit(0))
         texts = F.transform(members, lambda m: m["text"])
         return F.struct(
-            F.when(first["kind"] == SENTENCE, F.array_join(texts, " "))
+            F.when(F.get(members, F.lit(0))["kind"] == SENTENCE, F.array_join(texts, " "))
             .otherwise(F.array_join(texts, "\n\n"))
             .alias("text"),
-            first["path"].alias("path"),
+            F.transform(F.get(d["open"], i), lambda p: F.get(d["titles"], p)).alias("path"),
             F.array_sort(
                 F.array_distinct(F.flatten(F.transform(members, lambda m: m["pages"])))
             ).alias("page_numbers"),
@@ -202,17 +241,20 @@ def chunk_blocks(
     chunks = let(
         F.struct(
             F.col("_pieces").alias("pieces"),
-            spans(F.col("_starts"), F.size("_pieces")).alias("spans"),
+            F.col("_titles").alias("titles"),
+            F.col("_at.open").alias("open"),
+            spans(F.col("_at.starts"), F.size("_pieces")).alias("spans"),
         ),
-        lambda d: F.transform(d["spans"], lambda b: chunk(b, d)),
+        lambda d: F.transform(d["spans"], lambda b, i: chunk(b, i, d)),
     )
+
     def embedded(c: Column) -> Column:
         heading = F.coalesce(F.try_element_at(c["path"], F.lit(-1)), F.lit(""))
         return contextualize(hd.parent_path(c["path"]), heading, c["text"])
 
     kept = last_of_each(chunks, lambda c: F.sha2(embedded(c), 256)) if distinct else numbered(chunks)
-    rows = bounded.select(
-        *keep, F.size("_starts").alias("total_chunks"), F.explode(kept).alias("_c")
+    rows = placed.select(
+        *keep, F.size("_at.starts").alias("total_chunks"), F.explode(kept).alias("_c")
     ).select(*keep, "total_chunks", F.col("_c.at").alias("chunk_index"), F.col("_c.item").alias("_c"))
     return rows.select(
         *keep,
