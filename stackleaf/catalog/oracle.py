@@ -70,7 +70,7 @@ packed0 AS (
   FROM walk JOIN unit USING ({group}, u) GROUP BY {group}, c),
 packed AS MATERIALIZED (
   SELECT {group}, chunk_index, kind, key, pages,
-         count(*) OVER (PARTITION BY {group}) AS total_chunks,
+         (count(*) OVER (PARTITION BY {group}))::INTEGER AS total_chunks,
          CASE WHEN kind = 1 THEN array_to_string(texts, ' ')
               ELSE array_to_string(texts, chr(10) || chr(10)) END AS text
   FROM packed0)"""
@@ -231,7 +231,7 @@ def _ranked(score: str, direction: str, k: int, where: str = "true") -> str:
   SELECT query_id, chunk_id, round({score}, 6) + 0.0 AS score FROM questions, chunks WHERE {where}),
 hits AS MATERIALIZED (
   SELECT query_id, chunk_id, score,
-         row_number() OVER (PARTITION BY query_id ORDER BY score {direction}, chunk_id) AS rank
+         (row_number() OVER (PARTITION BY query_id ORDER BY score {direction}, chunk_id))::INTEGER AS rank
   FROM scored QUALIFY rank <= {k})"""
 
 
@@ -336,8 +336,8 @@ ORACLE: dict[str, str] = {
     "token_counts": f"WITH {SEGMENTS} SELECT doc_id, idx, {_words('text')} AS tokens FROM seg",
     "pack_paragraphs": f"WITH RECURSIVE {PACKED} SELECT doc_id, chunk_index, total_chunks, text FROM packed WHERE kind = 0",
     "pack_sentences": f"WITH RECURSIVE {PACKED} SELECT doc_id, chunk_index, total_chunks, text FROM packed WHERE kind = 1",
-    "chunk_index": f"""WITH {SEGMENTS} SELECT doc_id, idx AS line,
-      row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS chunk_index,
+    "chunk_index": f"""WITH {SEGMENTS} SELECT doc_id, idx::INTEGER AS line,
+      (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INTEGER AS chunk_index,
       count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM seg""",
     "dedup_chunks": f"""WITH RECURSIVE {PACKED} SELECT doc_id, {_CHUNK12} AS chunk_id, max(chunk_index) AS chunk_index
       FROM packed GROUP BY 1, 2""",
@@ -408,7 +408,7 @@ ORACLE: dict[str, str] = {
       FROM live JOIN one USING (content_hash) JOIN packed USING (doc_id) GROUP BY filename, content_hash, chunk_id""",
     "stream_ingest": f"""WITH RECURSIVE {ARRIVALS}, {PACKED},
       one AS (SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1)
-      SELECT filename, content_hash, coalesce(max(total_chunks), 0) AS chunk_count
+      SELECT filename, content_hash, coalesce(max(total_chunks), 0)::INTEGER AS chunk_count
       FROM live JOIN one USING (content_hash) LEFT JOIN packed USING (doc_id) GROUP BY filename, content_hash""",
     "summarize_default": f"""WITH RECURSIVE {PACKED}
       SELECT doc_id, chunk_index, array_to_string(list_slice({_sentences('text')}, 1, 2), ' ') AS summary FROM packed""",
@@ -418,7 +418,7 @@ ORACLE: dict[str, str] = {
     "clean_summary": f"WITH {_REPLIES} SELECT doc_id, {_cleaned('reply')} AS summary FROM replies WHERE reply IS NOT NULL",
     "summary_fallback": f"WITH {_REPLIES} SELECT doc_id, coalesce({_cleaned('reply')}, left(text, 300)) AS summary FROM replies",
     "structured_reply": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS summary FROM documents",
-    "embed_hashing": f"""SELECT doc_id, 64 AS dims, CASE WHEN {_words('text')} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+    "embed_hashing": f"""SELECT doc_id, 64::BIGINT AS dims, CASE WHEN {_words('text')} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
       FROM documents""",
     "topk_cosine": f"WITH {CHUNKS}, {_ranked(_COSINE, 'DESC', 10)} SELECT query_id, rank, chunk_id, score FROM hits",
     "topk_l2": f"WITH {CHUNKS}, {_ranked('list_distance(e, q)', 'ASC', 10)} SELECT query_id, rank, chunk_id, score FROM hits",
@@ -427,7 +427,7 @@ ORACLE: dict[str, str] = {
     "topk_postfilter": f"""WITH {CHUNKS}, {_ranked(_COSINE, 'DESC', 20)},
       kept AS (SELECT query_id, chunk_id, score FROM hits JOIN chunks USING (chunk_id)
                WHERE headings <> 'Contents' AND config = '{CONFIG}')
-      SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+      SELECT query_id, chunk_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank
       FROM kept QUALIFY rank <= 10""",
     "hit_projection": f"{_SHOWN} SELECT * FROM shown",
     "hit_citations": f"""{PREFILTERED} SELECT query_id, rank, chunk_id, filename, content_hash, chunk_index,
@@ -446,7 +446,7 @@ ORACLE: dict[str, str] = {
                 lo[i] + (c + 128.0::DOUBLE) / 255.0::DOUBLE * (hi[i] - lo[i])) AS e FROM coded),
       {_ranked(_COSINE, 'DESC', 40)}
       SELECT query_id, chunk_id, round(list_cosine_similarity(exact, q), 6) + 0.0 AS score,
-             row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+             (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank
       FROM (SELECT query_id, chunk_id FROM hits) JOIN chunks USING (chunk_id) JOIN questions USING (query_id)
       QUALIFY rank <= 10""",
 }
