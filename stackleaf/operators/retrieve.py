@@ -37,10 +37,12 @@ _BLOCK_CELLS = 2_000_000
 
 
 class Slice(NamedTuple):
-    """Questions of one slice: ids (Arrow) and their vectors (one row each)."""
+    """Questions of one slice: ids (Arrow, and their Spark type) and their
+    vectors (one row each)."""
 
     ids: pa.Array
     matrix: np.ndarray
+    id_type: str
 
 
 def question_slices(
@@ -75,7 +77,8 @@ def question_slices(
         )
         if table.num_rows:
             flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            yield Slice(table["q"].combine_chunks(), flat.reshape(table.num_rows, -1))
+            id_type = questions.schema[query_id].dataType.simpleString()
+            yield Slice(table["q"].combine_chunks(), flat.reshape(table.num_rows, -1), id_type)
 
 
 class BestK:
@@ -146,7 +149,6 @@ def _scan(vectors: DataFrame, questions: Slice, k: int, metric: str, prepare=Non
     spark = vectors.sparkSession
     shipped = spark.sparkContext.broadcast((questions.ids, questions.matrix))
     id_field = vectors.schema["chunk_id"]
-    query_type = questions.ids.type
 
     def search(batches):
         ids, matrix = shipped.value
@@ -185,9 +187,9 @@ def _scan(vectors: DataFrame, questions: Slice, k: int, metric: str, prepare=Non
                 names=["query_id", "chunk_id", "score"],
             )
 
-    qtype = "bigint" if pa.types.is_integer(query_type) else "string"
     return vectors.mapInArrow(
-        search, f"query_id {qtype}, chunk_id {id_field.dataType.simpleString()}, score double"
+        search,
+        f"query_id {questions.id_type}, chunk_id {id_field.dataType.simpleString()}, score double",
     )
 
 
