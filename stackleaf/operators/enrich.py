@@ -152,9 +152,12 @@ def answer(prompts: DataFrame, make_client: Callable[[], Client], system: str, *
     )
 
 
-def embed(df: DataFrame, make_embedder, text: str = "enriched_text", out: str = "embedding") -> DataFrame:
-    """Add a vector made by a user's ``list[str] -> list[vector]``, called once
-    per Arrow batch, made once per task."""
+def embed(
+    df: DataFrame, make_embedder, text: str = "enriched_text", out: str = "embedding", once: bool = True
+) -> DataFrame:
+    """Add a vector made by a user's ``list[str] -> list[vector]``, made once
+    per task and called per Arrow batch. With ``once``, equal texts are
+    embedded a single time and the vector is joined back."""
 
     def run(batches):
         vectors = make_embedder()
@@ -162,7 +165,14 @@ def embed(df: DataFrame, make_embedder, text: str = "enriched_text", out: str =
             yield pd.Series([list(map(float, v)) for v in vectors(texts.tolist())])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text)))
+    vector = F.pandas_udf(run, "array<float>")(F.col(text))
+    if not once:
+        return df.withColumn(out, vector)
+    keyed = df.withColumn("_text_id", F.sha2(text, 256))
+    made = keyed.select("_text_id", text).dropDuplicates(["_text_id"]).select(
+        "_text_id", vector.alias(out)
+    )
+    return keyed.join(made, "_text_id", "left").drop("_text_id")
 
 
 def hashing_embed(

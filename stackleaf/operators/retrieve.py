@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from stackleaf.functions import keys
 from stackleaf.functions.vectors import METRICS, similarity
-from stackleaf.sources.tables import MAX_BROADCAST_ROWS
+from stackleaf.sources.tables import MAX_BROADCAST_ROWS, work_folder
 
 # Defaults of a search.
 DEFAULT_K = 10
@@ -212,7 +212,7 @@ def top_k(
 ) -> DataFrame:
     """Exact search: ``query_id, chunk_id, score, rank``.
 
-    ``chunks`` has ``chunk_id, embedding`` and any columns used by ``where``, a
+    ``chunks`` has ``chunk_id`` (unique per row), ``embedding`` and any columns used by ``where``, a
     SQL condition over the metadata applied before scoring (it reaches the
     Parquet scan). ``questions`` has ``query_id, embedding``.
     """
@@ -289,6 +289,26 @@ def attach(
     )
 
 
+def attach_stored(
+    hits: DataFrame, chunks: DataFrame, columns: Sequence[str], max_rows: int
+) -> DataFrame:
+    """As ``attach``, for stored chunks with their ``file``: a scan of ids finds
+    the files that hold hits, and the wide columns are read from those only.
+    There are at most ``max_rows`` hits; the search runs once, its result is
+    saved to the shared folder."""
+    if max_rows > MAX_BROADCAST_ROWS:
+        return attach(hits, chunks, columns, max_rows)
+    spark = hits.sparkSession
+    folder = work_folder(spark, "hits")
+    hits.write.parquet(folder)
+    saved = spark.read.schema(hits.schema).parquet(folder)
+    holding = chunks.select("chunk_id", "file").join(
+        F.broadcast(saved.select("chunk_id").distinct()), "chunk_id", "left_semi"
+    )
+    files = [r.file for r in holding.select("file").distinct().collect()]
+    return attach(saved, chunks.where(F.col("file").isin(files)), columns, max_rows)
+
+
 def project_hits(hits: DataFrame) -> DataFrame:
     """Hit fields for the reader; the stored raw text, or the embedded text
     where the raw text is missing or empty."""

@@ -18,16 +18,16 @@ def retrieve(
     metric: str = "cosine",
     where: str = rt.DEFAULT_FILTER,
 ) -> DataFrame:
-    """Hit fields for each question. ``questions``: ``query_id, embedding``."""
-    hits = rt.top_k_prefiltered(chunks, questions, k, metric, where)
-    stored = chunks.withColumnsRenamed({"text": "raw_text", "enriched_text": "page_content"})
-    found = rt.attach(
-        hits,
-        stored,
-        ["headings", "parent_headings", "summary", "raw_text", "page_content"],
-        max_rows=questions.count() * k,
-    )
-    return rt.project_hits(found)
+    """Hit fields for each question. ``questions``: ``query_id, embedding``.
+    ``chunks``: stored chunks of one generation. A chunk id tells texts apart,
+    not documents, so a chunk is named by its document and its id here."""
+    stored = chunks.withColumn(
+        "chunk_id", F.concat_ws("_", "content_hash", "chunk_id")
+    ).withColumnsRenamed({"text": "raw_text", "enriched_text": "page_content"})
+    hits = rt.top_k_prefiltered(stored, questions, k, metric, where)
+    wide = ["headings", "parent_headings", "summary", "raw_text", "page_content"]
+    fetch = rt.attach_stored if "file" in stored.columns else rt.attach
+    return rt.project_hits(fetch(hits, stored, wide, questions.count() * k))
 
 
 def ask(

@@ -64,10 +64,12 @@ class Ingest:
         arrivals = everything.where("routed").drop("routed")
         pick = ["source_path", "content_hash"]
         wanted = lg.swap(live, arrivals).registered.select(*pick)
-        wanted = wanted.unionByName(everything.where("NOT routed").select(*pick))
+        corpus.write_wanted(
+            wanted.unionByName(everything.where("NOT routed").select(*pick)), batch_id
+        )
         corpus.write_parsed(
             fl.parse_files(
-                self._picked(files, wanted, everything.count()),
+                self._picked(files, corpus.wanted(batch_id), everything.count()),
                 document_parser=self.document_parser,
                 parser_name=self.settings.parser,
                 min_chars=self.min_chars,
@@ -77,13 +79,19 @@ class Ingest:
 
         # from here on everything is read back from the saved parse
         parsed = corpus.parsed().where(F.col("batch_id") == batch_id)
-        failed = parsed.where(F.col("reason").isNotNull()).select(*pick)
-        change = lg.swap(live, arrivals.join(failed, pick, "left_anti"))
         good = parsed.where(F.col("reason").isNull())
-        # a failed parse may keep an old version alive that a copy in this
-        # batch was to replace; such copies are rare and are left out here
-        surplus = good.select(*pick).join(change.registered.select(*pick), pick, "left_anti")
-        good = good.join(small_side(surplus), pick, "left_anti")
+        failed = parsed.where("reason IS NOT NULL AND parser IS NOT NULL").select(*pick)
+        if failed.isEmpty():
+            change = lg.swap(live, arrivals)
+        else:
+            # a version that cannot be read replaces nothing, so its old
+            # version stays, and with it any copy of that in this batch is
+            # known after all; such copies are few
+            change = lg.swap(live, arrivals.join(failed, pick, "left_anti"))
+            surplus = good.select(*pick).join(
+                change.registered.select(*pick), pick, "left_anti"
+            )
+            good = good.join(small_side(surplus), pick, "left_anti")
         corpus.write_chunks(self.chunks(good, config), batch_id)
 
         written = corpus.all_chunks().where(
@@ -113,10 +121,8 @@ class Ingest:
             )
         )
         corpus.append_events(events, batch_id)
-        return (
-            lg.current(corpus.events())
-            .where(F.col("seq") == 2 * batch_id + 1)
-            .select("filename", "content_hash", "chunk_count")
+        return corpus.batch_events(batch_id).where("op = 'register'").select(
+            "filename", "content_hash", "chunk_count"
         )
 
     def _picked(self, files: DataFrame, wanted: DataFrame, total: int) -> DataFrame:

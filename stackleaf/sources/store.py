@@ -1,6 +1,6 @@
 """The corpus on disk: plain Parquet folders, written and read by Spark.
 
-``arrivals/``, ``parsed/``, ``chunks/`` and ``ledger/`` are partitioned by batch (chunks by
+``arrivals/``, ``wanted/``, ``parsed/``, ``chunks/`` and ``ledger/`` are partitioned by batch (chunks by
 config hash first). A batch that runs again overwrites its own partitions only,
 so a replay leaves the same rows. Chunks are written before the ledger; readers
 keep the chunks whose document version is live, so one append to the ledger
@@ -25,6 +25,7 @@ ARRIVAL_SCHEMA = (
     "source_path string, filename string, content_hash string, pipeline_config_hash string, "
     "seq bigint, routed boolean, batch_id bigint"
 )
+WANTED_SCHEMA = "source_path string, content_hash string, batch_id bigint"
 PARSED_SCHEMA = (
     "source_path string, filename string, content_hash string, content_type string, "
     f"parser string, markdown string, blocks {BLOCKS}, doc_key string, reason string, "
@@ -53,6 +54,7 @@ class Corpus:
         for table, schema, parts in (
             ("ledger", lg.EVENT_SCHEMA + ", batch_id bigint", ["batch_id"]),
             ("arrivals", ARRIVAL_SCHEMA, ["batch_id"]),
+            ("wanted", WANTED_SCHEMA, ["batch_id"]),
             ("parsed", PARSED_SCHEMA, ["batch_id"]),
             ("chunks", CHUNK_SCHEMA, ["pipeline_config_hash", "batch_id"]),
         ):
@@ -75,6 +77,9 @@ class Corpus:
             arrivals.withColumn("batch_id", F.lit(batch_id)), "arrivals", ["batch_id"]
         )
 
+    def write_wanted(self, wanted: DataFrame, batch_id: int) -> None:
+        self._replace_parts(wanted.withColumn("batch_id", F.lit(batch_id)), "wanted", ["batch_id"])
+
     def write_parsed(self, parsed: DataFrame, batch_id: int) -> None:
         self._replace_parts(parsed.withColumn("batch_id", F.lit(batch_id)), "parsed", ["batch_id"])
 
@@ -93,18 +98,30 @@ class Corpus:
     def events(self, before_batch: int | None = None) -> DataFrame:
         """Ledger events; ``before_batch`` leaves out the batch itself, so that
         a replay sees the ledger as the first run did."""
-        df = self.spark.read.schema(lg.EVENT_SCHEMA + ", batch_id bigint").parquet(
-            self._path("ledger")
-        )
+        df = self._ledger()
         if before_batch is not None:
             df = df.where(F.col("batch_id") < before_batch)
         return df.drop("batch_id")
 
+    def batch_events(self, batch_id: int) -> DataFrame:
+        """Ledger events of one batch."""
+        return self._ledger().where(F.col("batch_id") == batch_id).drop("batch_id")
+
+    def _ledger(self) -> DataFrame:
+        return self.spark.read.schema(lg.EVENT_SCHEMA + ", batch_id bigint").parquet(
+            self._path("ledger")
+        )
+
     def arrivals(self, batch_id: int) -> DataFrame:
         """Keys of the files of one batch."""
         df = self.spark.read.schema(ARRIVAL_SCHEMA).parquet(self._path("arrivals"))
         return df.where(F.col("batch_id") == batch_id).drop("batch_id")
 
+    def wanted(self, batch_id: int) -> DataFrame:
+        """Keys of the files of one batch that are to be parsed."""
+        df = self.spark.read.schema(WANTED_SCHEMA).parquet(self._path("wanted"))
+        return df.where(F.col("batch_id") == batch_id).drop("batch_id")
+
     def parsed(self) -> DataFrame:
         return self.spark.read.schema(PARSED_SCHEMA).parquet(self._path("parsed"))
 
@@ -114,8 +131,10 @@ class Corpus:
         )
 
     def all_chunks(self) -> DataFrame:
-        """Every stored chunk, live or not, of all generations."""
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(self._path("chunks"))
+        """Every stored chunk, live or not, of all generations; ``file`` names
+        the file it is in (known without reading, so it can skip files)."""
+        stored = self.spark.read.schema(CHUNK_SCHEMA).parquet(self._path("chunks"))
+        return stored.select("*", F.col("_metadata.file_path").alias("file"))
 
     def _visible(self, chunks: DataFrame, events: DataFrame) -> DataFrame:
         """Chunks of finished batches, less the document versions that are no
@@ -153,7 +172,7 @@ class Corpus:
             keep.select("content_hash").distinct(), "content_hash", "left_semi"
         )
         out._replace_parts(
-            self._visible(self.all_chunks().where(wanted), events),
+            self._visible(self.all_chunks().where(wanted), events).drop("file"),
             "chunks",
             ["pipeline_config_hash", "batch_id"],
         )

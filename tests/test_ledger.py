@@ -171,7 +171,7 @@ def test_unfinished_batch_is_invisible(spark, tmp_path):
     ingest, corpus = plain(), Corpus(spark, str(tmp_path / "c")).create()
     ingest.run(corpus, files(spark, a__txt=b"one"), 1)
     # a batch that stops after its chunks were written
-    stray = corpus.all_chunks().drop("batch_id").withColumn("text", F.lit("stray"))
+    stray = corpus.all_chunks().drop("batch_id", "file").withColumn("text", F.lit("stray"))
     corpus.write_chunks(stray, 2)
     assert searchable(corpus, ingest) == [("a.txt", "one")]
 
@@ -211,3 +211,25 @@ def test_config_scope_reads_one_partition(spark, tmp_path):
     assert len(searchable(corpus, ingest)) == len(searchable(corpus, other)) == 1
     kept = corpus.compact_to(str(tmp_path / "k"), configs=[config])
     assert searchable(kept, ingest) == [("a.txt", "one")] and searchable(kept, other) == []
+
+
+def test_ask_over_the_corpus(spark, tmp_path):
+    """The same text in two documents is two hits; wide columns are read from
+    the files with hits only."""
+    from stackleaf.operators import enrich
+    from stackleaf.plans.ask import retrieve
+
+    ingest, corpus = plain(), Corpus(spark, str(tmp_path / "c")).create()
+    ingest.run(corpus, files(spark, a__txt=b"shared words\n\nonly in a here", b__txt=b"shared words\n\nb has this"), 1)
+    ingest.run(corpus, files(spark, c__txt=b"something else entirely"), 2)
+    config = ingest.settings.fingerprint()
+    asked = enrich.hashing_embed(
+        spark.createDataFrame([(1, "shared words")], "query_id int, enriched_text string"), 16
+    )
+    hits = retrieve(corpus.chunks(config), asked, k=2).collect()
+    assert [h.page_content for h in hits] == ["shared words"] * 2
+    held = corpus.chunks(config).where("filename = 'c.txt'").first().file
+    narrow = corpus.chunks(config).where(F.col("file").isin(held))
+    assert [r.filename for r in narrow.collect()] == ["c.txt"]
+    assert len(narrow.inputFiles()) >= 1
+    assert "file_path" in narrow._jdf.queryExecution().executedPlan().toString()

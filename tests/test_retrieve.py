@@ -291,7 +291,8 @@ def test_embedders(spark):
 def test_ask(spark):
     chunks, data = vectors(spark, 40, 4, seed=8)
     chunks = chunks.selectExpr(
-        "*", "'' AS parent_headings", "chunk_id AS summary", "'' AS text", "chunk_id AS enriched_text"
+        "*", "'' AS parent_headings", "chunk_id AS summary", "'' AS text", "chunk_id AS enriched_text",
+        "'d' AS content_hash",
     )
 
     def make():
