@@ -46,13 +46,15 @@ class Clusters:
         ).drop("_features")
 
     def nearest(self, matrix: np.ndarray, nprobe: int) -> np.ndarray:
-        """The ``nprobe`` nearest clusters of each question, as a 0/1 table."""
+        """The ``nprobe`` nearest clusters of each question, one row each."""
         centers = self.centers
-        d = (centers**2).sum(1)[None, :] - 2 * matrix @ centers.T
-        chosen = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
-        table = np.zeros((len(matrix), len(centers)), bool)
-        np.put_along_axis(table, chosen, True, axis=1)
-        return table
+        nprobe = min(nprobe, len(centers))
+        step = max(1, 4_000_000 // len(centers))
+        out = []
+        for lo in range(0, len(matrix), step):
+            d = (centers**2).sum(1)[None, :] - 2 * matrix[lo : lo + step] @ centers.T
+            out.append(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32))
+        return np.concatenate(out)
 
 
 def train(
@@ -78,21 +80,58 @@ def train(
         held.unpersist()
 
 
-def _by_cluster(cluster: np.ndarray, probes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Blocks to score in a batch: rows of a cluster with the questions that
-    probe it."""
-    order = np.argsort(cluster, kind="stable")
-    found, starts = np.unique(cluster[order], return_index=True)
-    groups = np.split(order, starts[1:])
-    return [(g, np.flatnonzero(probes[:, c])) for c, g in zip(found, groups)]
+def _blocks(probes: np.ndarray):
+    """For a task: a function from the cluster column of a batch to the blocks
+    to score, the rows of a cluster with the questions that probe it."""
+    flat = probes.ravel()
+    order = np.argsort(flat, kind="stable")
+    used, starts = np.unique(flat[order], return_index=True)
+    asking = dict(zip(used.tolist(), np.split(order // probes.shape[1], starts[1:])))
 
+    def blocks(cluster: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        rows = np.argsort(cluster, kind="stable")
+        found, at = np.unique(cluster[rows], return_index=True)
+        groups = np.split(rows, at[1:])
+        return [(g, asking[c]) for c, g in zip(found.tolist(), groups) if c in asking]
 
-def _probed(index: DataFrame, probes: np.ndarray) -> DataFrame:
-    """Only the clusters some question probes (at most ``nlist`` values)."""
-    used = np.flatnonzero(probes.any(axis=0)).tolist()
-    if len(used) == probes.shape[1]:
-        return index
-    return index.where(F.col("cluster").isin(used))
+    return blocks
+
+
+def _search_clusters(
+    index: DataFrame,
+    clusters: Clusters,
+    questions: DataFrame,
+    column: str,
+    decode,
+    k: int,
+    nprobe: int,
+    metric: str,
+) -> DataFrame | None:
+    """Best ``k`` in the probed clusters, by the vectors that ``decode`` makes
+    of ``column``. Clusters nobody probes are filtered out ahead of the scan
+    (at most ``nlist`` values in the condition)."""
+    spark = index.sparkSession
+    parts = []
+    for piece in rt.question_slices(questions):
+        probes = clusters.nearest(piece.matrix, nprobe)
+        used = np.unique(probes).tolist()
+        shipped = spark.sparkContext.broadcast(probes)
+        state = {}
+
+        def prepare(batch, shipped=shipped, state=state):
+            if "blocks" not in state:
+                state["blocks"] = _blocks(shipped.value)
+            flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)
+            rows = decode(flat.reshape(batch.num_rows, -1))
+            return rows, state["blocks"](batch.column("cluster").to_numpy())
+
+        source = index.select("chunk_id", column, "cluster")
+        if len(used) < len(clusters.centers):
+            source = source.where(F.col("cluster").isin(used))
+        parts.append(rt._scan(source, piece, k, metric, prepare))
+    if not parts:
+        return None
+    return rt.rank_hits(reduce(DataFrame.unionByName, parts), k, metric)
 
 
 def ivf_search(
@@ -105,20 +144,10 @@ def ivf_search(
 ) -> DataFrame:
     """Search the ``nprobe`` nearest clusters of each question. ``index``:
     ``chunk_id, embedding, cluster``."""
-    parts = []
-    for piece in rt.question_slices(questions):
-        probes = clusters.nearest(piece.matrix, nprobe)
-
-        def prepare(batch, matrix, probes=probes):
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            rows = flat.astype(np.float64).reshape(batch.num_rows, -1)
-            return rows, _by_cluster(batch.column("cluster").to_numpy(), probes)
-
-        source = _probed(index, probes).select("chunk_id", "embedding", "cluster")
-        parts.append(rt._scan(source, piece, k, metric, prepare))
-    if not parts:
-        return rt.no_hits(index, questions)
-    return rt.rank_hits(reduce(DataFrame.unionByName, parts), k, metric)
+    hits = _search_clusters(
+        index, clusters, questions, "embedding", lambda v: v.astype(np.float64), k, nprobe, metric
+    )
+    return rt.no_hits(index, questions) if hits is None else hits
 
 
 # --- 8-bit codes ---------------------------------------------------------------
@@ -176,21 +205,11 @@ def sq8_search(
 ) -> DataFrame:
     """Search by decoded codes, then exact scores for the best ``refine * k``
     candidates of each question."""
-    parts = []
-    for piece in rt.question_slices(questions):
-        probes = clusters.nearest(piece.matrix, nprobe)
-        decode = codec.decoder()
-
-        def prepare(batch, matrix, probes=probes, decode=decode):
-            codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False)
-            rows = decode(codes.reshape(batch.num_rows, -1))
-            return rows, _by_cluster(batch.column("cluster").to_numpy(), probes)
-
-        source = _probed(index, probes).select("chunk_id", "codes", "cluster")
-        parts.append(rt._scan(source, piece, k * refine, metric, prepare))
-    if not parts:
+    found = _search_clusters(
+        index, clusters, questions, "codes", codec.decoder(), k * refine, nprobe, metric
+    )
+    if found is None:
         return rt.no_hits(index, questions)
-    found = rt.rank_hits(reduce(DataFrame.unionByName, parts), k * refine, metric)
     return rt.rescore(found, vectors, questions, k, metric, questions.count() * k * refine)
 
 

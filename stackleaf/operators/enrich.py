@@ -95,10 +95,19 @@ def reply_udf(
     return F.pandas_udf(ask, "reply string, error string")
 
 
-def call_once(inputs: DataFrame, key: str, text: str, udf, saved: str | None = None) -> DataFrame:
+def call_once(
+    inputs: DataFrame,
+    key: str,
+    text: str,
+    udf,
+    saved: str | None = None,
+    rows_per_task: int = 1000,
+) -> DataFrame:
     """``key, reply, error`` for each distinct key. With ``saved`` (a folder of
     the corpus), keys already answered there are not sent again, new replies
-    are added to it first, and the result is read from it."""
+    are added to it first, and the result is read from it. The calls are dealt
+    out in tasks of about ``rows_per_task``, which is what one lost task can
+    cost."""
     spark = inputs.sparkSession
     todo = inputs.select(key, text).dropDuplicates([key])
     if saved is None:
@@ -106,8 +115,10 @@ def call_once(inputs: DataFrame, key: str, text: str, udf, saved: str | None = N
     schema = f"{key} {inputs.schema[key].dataType.simpleString()}, reply string, error string"
     spark.createDataFrame([], schema).write.mode("append").parquet(saved)
     answered = spark.read.schema(schema).parquet(saved).where(F.col("error").isNull())
+    missing = todo.join(answered.select(key), key, "left_anti")
+    tasks = -(-missing.select(key).count() // rows_per_task)
     fresh = (
-        todo.join(answered.select(key), key, "left_anti")
+        missing.repartition(max(tasks, 1), key)
         .withColumn("_r", udf(F.col(text)))
         .select(key, "_r.reply", "_r.error")
     )

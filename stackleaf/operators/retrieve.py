@@ -83,35 +83,38 @@ def question_slices(
 
 class BestK:
     """Running best ``k`` per question in one task. Order: score (better
-    first), then id; the same order as the final merge, so cuts are exact."""
+    first), then id; the same order as the final merge, so cuts are exact.
+    ``floor`` is the score a newcomer must reach."""
 
     def __init__(self, questions: int, k: int):
         self.k = k
         self.floor = np.full(questions, -np.inf)
-        self.q = np.empty(0, np.int64)
-        self.s = np.empty(0)
-        self.id = None
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
 
     def add(self, q: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
-        self.q = np.concatenate([self.q, q])
-        self.s = np.concatenate([self.s, s])
-        self.id = ids if self.id is None else np.concatenate([self.id, ids])
-        if len(self.q) > 4 * self.k * len(self.floor) + 100_000:
+        self.parts.append((q, s, ids))
+        self.held += len(q)
+        if self.held > 4 * self.k * len(self.floor) + 100_000:
             self.cut()
 
-    def cut(self) -> None:
-        if self.id is None:
-            return
-        order = np.lexsort((self.id, -self.s, self.q))
-        q = self.q[order]
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Drop what is not among the best; the rest as (question, score, id)."""
+        if not self.parts:
+            return None
+        q, s, ids = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((ids, -s, q))
+        q = q[order]
         first = np.r_[True, q[1:] != q[:-1]]
         starts = np.flatnonzero(first)
         rank = np.arange(len(q)) - starts[np.cumsum(first) - 1]
         keep = rank < self.k
         order, q, rank = order[keep], q[keep], rank[keep]
-        self.q, self.s, self.id = q, self.s[order], self.id[order]
+        s, ids = s[order], ids[order]
         full = rank == self.k - 1
-        self.floor[q[full]] = self.s[full]
+        self.floor[q[full]] = s[full]
+        self.parts, self.held = [(q, s, ids)], len(q)
+        return self.parts[0]
 
 
 def _block_scores(rows: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarray:
@@ -131,15 +134,25 @@ def _block_scores(rows: np.ndarray, questions: np.ndarray, metric: str) -> np.nd
     return np.round(raw, DIGITS) + 0.0
 
 
-def _offer(best: BestK, scores: np.ndarray, ids: np.ndarray, columns: np.ndarray) -> None:
-    """Hand a block's scores to ``best``, leaving out what cannot get in."""
+def _offer(best: BestK, scores: np.ndarray, ids_at, columns: np.ndarray) -> None:
+    """Hand a block's scores to ``best``, leaving out what cannot get in.
+    ``ids_at(rows)`` gives the ids of rows; most rows never need theirs."""
     floor = best.floor[columns]
     if len(scores) > best.k:
         kth = np.partition(scores, len(scores) - best.k, axis=0)[len(scores) - best.k]
         floor = np.maximum(floor, kth)
     r, c = np.nonzero(scores >= floor[None, :])
     if len(r):
-        best.add(columns[c], scores[r, c], ids[r])
+        rows, back = np.unique(r, return_inverse=True)
+        best.add(columns[c], scores[r, c], ids_at(rows)[back])
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids as a sortable array: numbers, or UTF-8 bytes (whose order is the
+    order of the strings in Spark)."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    return np.array(column.cast(pa.binary()).to_pylist(), dtype=bytes)
 
 
 def _scan(vectors: DataFrame, questions: Slice, k: int, metric: str, prepare=None) -> DataFrame:
@@ -160,13 +173,12 @@ def _scan(vectors: DataFrame, questions: Slice, k: int, metric: str, prepare=Non
                 continue
             column = batch.column("chunk_id")
             id_type = column.type
-            names = np.array(column.to_pylist())
             if prepare is None:
                 flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
                 rows = flat.astype(np.float64).reshape(batch.num_rows, -1)
                 work = [(np.arange(batch.num_rows), everyone)]
             else:
-                rows, work = prepare(batch, matrix)
+                rows, work = prepare(batch)
             for at, columns in work:
                 if not len(columns):
                     continue
@@ -174,15 +186,16 @@ def _scan(vectors: DataFrame, questions: Slice, k: int, metric: str, prepare=Non
                 for lo in range(0, len(at), step):
                     part = at[lo : lo + step]
                     scores = _block_scores(rows[part], matrix[columns], metric)
-                    _offer(best, scores, names[part], columns)
-        best.cut()
-        if best.id is not None and len(best.q):
-            score = best.s if METRICS[metric] else -best.s
+                    _offer(best, scores, lambda r: _ids(column.take(pa.array(part[r]))), columns)
+        kept = best.cut()
+        if kept is not None:
+            q, s, names = kept
+            found = pa.array(names.tolist())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(best.q)),
-                    pa.array(best.id.tolist(), type=id_type),
-                    pa.array(score + 0.0),
+                    ids.take(pa.array(q)),
+                    found.cast(id_type),
+                    pa.array((s if METRICS[metric] else -s) + 0.0),
                 ],
                 names=["query_id", "chunk_id", "score"],
             )
@@ -344,7 +357,8 @@ def rescore(
 ) -> DataFrame:
     """Exact scores for candidate pairs, then the best ``k`` per question.
     There are at most ``max_rows`` candidates."""
-    pairs = attach(
+    fetch = attach_stored if "file" in chunks.columns else attach
+    pairs = fetch(
         candidates.select("query_id", "chunk_id"), chunks, ["embedding"], max_rows
     ).withColumnRenamed("embedding", "_a")
     exact = pairs.join(

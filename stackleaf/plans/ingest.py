@@ -46,7 +46,6 @@ class Ingest:
         Returns the report: ``filename, content_hash, chunk_count`` of the
         documents this batch registered."""
         config = self.settings.fingerprint()
-        live = lg.prune(lg.current(corpus.events(before_batch=batch_id)), config)
         if "seq" not in files.columns:
             files = files.withColumn("seq", F.lit(0).cast("bigint"))
         corpus.write_arrivals(
@@ -62,6 +61,7 @@ class Ingest:
         )
         everything = corpus.arrivals(batch_id)
         arrivals = everything.where("routed").drop("routed")
+        live = corpus.live_near(arrivals, config, batch_id)
         pick = ["source_path", "content_hash"]
         wanted = lg.swap(live, arrivals).registered.select(*pick)
         corpus.write_wanted(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stackleaf.functions import keys
 from stackleaf.operators import ledger as lg
 from stackleaf.sources.files import BLOCKS
-from stackleaf.sources.tables import small_side
+from stackleaf.sources.tables import MAX_BROADCAST_ROWS, small_side
 
 ARRIVAL_SCHEMA = (
     "source_path string, filename string, content_hash string, pipeline_config_hash string, "
@@ -103,6 +103,20 @@ class Corpus:
             df = df.where(F.col("batch_id") < before_batch)
         return df.drop("batch_id")
 
+    def live_near(self, arrivals: DataFrame, config: str, before_batch: int) -> DataFrame:
+        """Live entries that share a filename or a hash with an arrival; those
+        are all a batch can touch. For a small batch the ledger is filtered by
+        broadcast ahead of its shuffle, so a stream of small batches does not
+        sort the whole ledger each time."""
+        events = self.events(before_batch).where(F.col("pipeline_config_hash") == config)
+        if arrivals.count() <= MAX_BROADCAST_ROWS:
+            named = F.broadcast(arrivals.select("filename").distinct())
+            hashed = arrivals.select("content_hash")
+            others = events.join(named, "filename", "left_semi").select("content_hash")
+            keys_ = hashed.unionByName(others).distinct()
+            events = events.join(small_side(keys_), "content_hash", "left_semi")
+        return lg.current(events)
+
     def batch_events(self, batch_id: int) -> DataFrame:
         """Ledger events of one batch."""
         return self._ledger().where(F.col("batch_id") == batch_id).drop("batch_id")

@@ -74,11 +74,12 @@ def test_running_cut_is_exact():
     scores = np.round(rng.normal(size=(500, 3)), 1)  # many ties
     ids = np.array([f"c{i:03d}" for i in rng.permutation(500)])
     for lo in range(0, 500, 7):
-        rt._offer(best, scores[lo : lo + 7], ids[lo : lo + 7], np.arange(3))
+        rt._offer(best, scores[lo : lo + 7], lambda r: ids[lo + r], np.arange(3))
         best.cut()
+    at, kept, names = best.cut()
     for q in range(3):
         want = sorted(zip(-scores[:, q], ids))[:4]
-        got = sorted(zip(-best.s[best.q == q], best.id[best.q == q]))
+        got = sorted(zip(-kept[at == q], names[at == q]))
         assert [g[1] for g in got] == [w[1] for w in want]
 
 
