@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackleaf.sources.tables import small_side
+
 KEY = ["content_hash", "pipeline_config_hash"]
 
 EVENT_SCHEMA = (
@@ -115,13 +117,19 @@ def swap(live: DataFrame, incoming: DataFrame) -> Swap:
 
 
 def compact(chunks: DataFrame, live: DataFrame) -> DataFrame:
-    """Chunks that belong to a live document version."""
-    return chunks.join(live.select(*KEY).distinct(), KEY, "left_semi")
+    """Chunks that belong to a live document version.
+
+    The few versions that are *not* live are looked up from the keys alone and
+    taken out by a broadcast, so that chunk texts need not be shuffled to meet
+    the long list of live ones.
+    """
+    dead = chunks.select(*KEY).distinct().join(live.select(*KEY), KEY, "left_anti")
+    return without_documents(chunks, dead)
 
 
 def without_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     """Chunks left after deleting the given document versions."""
-    return chunks.join(gone.select(*KEY).distinct(), KEY, "left_anti")
+    return chunks.join(small_side(gone.select(*KEY).distinct()), KEY, "left_anti")
 
 
 def prune(df: DataFrame, config: str) -> DataFrame:

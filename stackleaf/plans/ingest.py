@@ -92,7 +92,9 @@ class Ingest:
                 change.registered.select(*pick), pick, "left_anti"
             )
             good = good.join(small_side(surplus), pick, "left_anti")
-        corpus.write_chunks(self.chunks(good, config), batch_id)
+        corpus.write_chunks(
+            self.chunks(good, config, corpus.replies(self.settings.summary_model)), batch_id
+        )
 
         written = corpus.all_chunks().where(
             (F.col("batch_id") == batch_id) & (F.col("pipeline_config_hash") == config)
@@ -135,8 +137,9 @@ class Ingest:
         chosen = wanted.withColumnRenamed("source_path", "path")
         return hashed.join(small_side(chosen), ["path", "content_hash"], "left_semi")
 
-    def chunks(self, parsed: DataFrame, config: str) -> DataFrame:
-        """Chunk, summarise and embed parsed documents; stored form."""
+    def chunks(self, parsed: DataFrame, config: str, replies: str | None = None) -> DataFrame:
+        """Chunk, summarise and embed parsed documents; stored form. Replies of
+        a summary client are kept in the folder ``replies``."""
         keep = ["content_hash", "filename"]
         if self.settings.chunker == "docling":
             structured = parsed.withColumn(
@@ -162,7 +165,7 @@ class Ingest:
                     distinct=True,
                 )
             )
-        summed = enrich.summarize(made, self.make_client)
+        summed = enrich.summarize(made, self.make_client, replies)
         records = chunk_records(summed, config)
         if self.make_embedder is not None:
             return enrich.embed(records, self.make_embedder)

@@ -11,6 +11,7 @@ One writer at a time: plain Parquet has no concurrent commit.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,10 @@ class Corpus:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def replies(self, model: str) -> str:
+        """Folder of saved replies of one model."""
+        return self._path("replies/" + re.sub(r"[^A-Za-z0-9._-]", "_", model))
+
     def create(self) -> "Corpus":
         """Lay down empty tables, so that the first batch can read them."""
         for table, schema, parts in (
@@ -182,9 +187,13 @@ class Corpus:
             wanted = F.col("pipeline_config_hash").isin(*configs)
         events = self.events().where(wanted)
         keep = lg.current(events)
-        documents = self.parsed().join(
-            keep.select("content_hash").distinct(), "content_hash", "left_semi"
+        parsed = self.parsed()
+        gone = (
+            parsed.select("content_hash")
+            .distinct()
+            .join(keep.select("content_hash"), "content_hash", "left_anti")
         )
+        documents = parsed.join(small_side(gone), "content_hash", "left_anti")
         out._replace_parts(
             self._visible(self.all_chunks().where(wanted), events).drop("file"),
             "chunks",

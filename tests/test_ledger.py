@@ -40,16 +40,26 @@ def parse(text):
     return [tuple(p.split(":")) for p in text.split()]
 
 
-@pytest.mark.parametrize("current, incoming, live, evicted", CASES)
-def test_swap(spark, current, incoming, live, evicted):
-    before = table(spark, parse(current)).drop("seq")
-    for order in itertools.permutations(parse(incoming)):
-        change = lg.swap(before, table(spark, order))
-        assert pairs(change.live) == parse(live)
-        assert pairs(change.evicted) == parse(evicted)
-        # the same files again change nothing
-        again = lg.swap(change.live, table(spark, order))
-        assert pairs(again.live) == parse(live)
+def test_swap(spark):
+    """All cases in all orders of arrival, each under a config of its own."""
+    before, arriving, want_live, want_evicted = [], [], set(), set()
+    for n, (current, incoming, live, evicted) in enumerate(CASES):
+        for m, order in enumerate(itertools.permutations(parse(incoming))):
+            config = f"{n}-{m}"
+            before += [(f, h, config) for f, h in parse(current)]
+            arriving += [(f, h, config, i) for i, (f, h) in enumerate(order)]
+            want_live |= {(f, h, config) for f, h in parse(live)}
+            want_evicted |= {(f, h, config) for f, h in parse(evicted)}
+    known = spark.createDataFrame(before, COLS.rsplit(",", 1)[0])
+    incoming = spark.createDataFrame(arriving, COLS)
+    change = lg.swap(known, incoming)
+    triples = lambda df: {tuple(r) for r in df.select("filename", "content_hash", "pipeline_config_hash").collect()}
+    assert triples(change.live) == want_live
+    assert triples(change.evicted) == want_evicted
+    # the same files again change nothing
+    again = lg.swap(spark.createDataFrame(sorted(want_live), known.schema), incoming)
+    assert triples(again.live) == want_live
+    assert triples(again.registered) == set()
 
 
 def test_swap_keeps_other_configs(spark):
@@ -233,3 +243,42 @@ def test_ask_over_the_corpus(spark, tmp_path):
     assert [r.filename for r in narrow.collect()] == ["c.txt"]
     assert len(narrow.inputFiles()) >= 1
     assert "file_path" in narrow._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ingest_saves_replies(spark, tmp_path):
+    """A batch that runs again does not call the model again."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def make():
+        class Client:
+            def complete(self, system, user, max_tokens):
+                import uuid
+
+                (log / uuid.uuid4().hex).write_text(user)
+                return "Summary: " + user.upper()
+
+        return Client()
+
+    ingest = plain(make_client=make, make_embedder=lambda: lambda texts: [[len(t)] for t in texts])
+    corpus = Corpus(spark, str(tmp_path / "c")).create()
+    arrived = files(spark, a__txt=b"same\n\none two three four", b__txt=b"same\n\nfour three two one")
+    for _ in range(2):
+        ingest.run(corpus, arrived, 1)
+    rows = sorted((r.filename, r.summary, list(r.embedding)) for r in corpus.chunks(ingest.settings.fingerprint()).collect())
+    assert rows == [
+        ("a.txt", "ONE TWO THREE FOUR", [18.0]),
+        ("a.txt", "SAME", [4.0]),
+        ("b.txt", "FOUR THREE TWO ONE", [18.0]),
+        ("b.txt", "SAME", [4.0]),
+    ]
+    assert sorted(p.read_text() for p in log.iterdir()) == ["four three two one", "one two three four", "same"]
+
+
+def test_small_batches_do_not_sort_the_ledger(spark, tmp_path):
+    ingest, corpus = plain(), Corpus(spark, str(tmp_path / "c")).create()
+    ingest.run(corpus, files(spark, a__txt=b"one", b__txt=b"two", c__txt=b"three"), 1)
+    config = ingest.settings.fingerprint()
+    near = corpus.live_near(table(spark, [("b.txt", "x"), ("z.txt", "y")]), config, 2)
+    assert [r.filename for r in near.collect()] == ["b.txt"]
+    assert "BroadcastHashJoin" in near._jdf.queryExecution().executedPlan().toString()
