@@ -300,9 +300,14 @@ def page_span(spark, sf):
 
 @query
 def merge_list_items(spark, sf):
-    rows = fx.page_blocks(spark, sf).select("page_id", F.explode("blocks").alias("b")).select(
+    """Blocks as saved rows: the ordered scans read their input more than once,
+    so it should be a table, not a parse."""
+    parsed = fx.page_blocks(spark, sf).select("page_id", F.explode("blocks").alias("b")).select(
         "page_id", "b.idx", "b.kind", "b.text"
     )
+    path = work_folder(spark, "blocks")
+    parsed.write.parquet(path)
+    rows = spark.read.schema(parsed.schema).parquet(path)
     return structure.merge_list_rows(rows, ["page_id"], "idx", "kind", "text").select(
         "page_id", F.col("unit").cast("bigint").alias("unit"), "kind", "items", "text"
     )

@@ -159,14 +159,12 @@ def plain_chunks(packed: DataFrame) -> DataFrame:
 def number_chunks(chunks: DataFrame, document: Sequence[str], order: str) -> DataFrame:
     """``chunk_index`` and ``total_chunks`` for chunks that arrive as rows.
 
-    Chunks made by this package carry both already. The total is a count with
-    map-side partial sums joined back, not a window over the whole document.
+    Chunks made by this package carry both already. No window covers a whole
+    document (see ``ordered``).
     """
     from stackleaf.operators.ordered import row_number
 
-    totals = chunks.groupBy(*document).agg(F.count("*").alias("total_chunks"))
-    numbered = row_number(chunks, document, order, "chunk_index")
-    return numbered.join(totals, list(document))
+    return row_number(chunks, document, order, "chunk_index", total="total_chunks")
 
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:

@@ -25,41 +25,62 @@ SPAN = 4096
 
 
 def _in_spans(df: DataFrame, group: Sequence[str], order: str, span: int) -> DataFrame:
-    return df.withColumn("_span", F.floor(F.col(order) / span).cast("bigint"))
+    at = F.col(order).cast("bigint")
+    return df.withColumn("_span", at - F.pmod(at, F.lit(span)))
 
 
-def _scan(df, group, order, local, summary, across, merge, out, span):
+def _scan(df, group, order, local, summary, across, merge, span):
     """The shared skeleton: per-span windows and one summary per span.
 
     ``local``  columns computed in the span's window
-    ``summary`` aggregates per span (partial sums on the map side)
+    ``summary`` aggregates per span
     ``across``  columns over the span summaries of a group
-    ``merge``   final expression
+    ``merge``   the new columns
+
+    Rows are shuffled once, by span. The summaries come from a second, pruned
+    pass over the input with partial sums on the map side.
     """
     key = [*group, "_span"]
-    spread = _in_spans(df, group, order, span).repartition(*key)
+    spread = _in_spans(df, group, order, span)
     summaries = spread.groupBy(*key).agg(*summary)
     over = Window.partitionBy(*group).orderBy("_span")
     carried = summaries.select(*key, *[fn(over).alias(name) for name, fn in across.items()])
     window = Window.partitionBy(*key).orderBy(order)
     rows = spread.select("*", *[fn(window).alias(name) for name, fn in local.items()])
-    joined = rows.join(carried, key)
-    return joined.withColumn(out, merge).drop("_span", *local, *across)
+    return rows.join(carried, key).select(
+        *df.columns, *[column.alias(name) for name, column in merge.items()]
+    )
 
 
 def _before(w):
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def row_number(df: DataFrame, group: Sequence[str], order: str, out: str, span: int = SPAN) -> DataFrame:
-    """Zero-based position in the group."""
+def _whole(group):
+    return Window.partitionBy(*group)
+
+
+def row_number(
+    df: DataFrame,
+    group: Sequence[str],
+    order: str,
+    out: str,
+    total: str | None = None,
+    span: int = SPAN,
+) -> DataFrame:
+    """Zero-based position in the group and, as ``total``, the group's size."""
+    merge = {out: (F.col("_at") - 1 + F.coalesce("_base", F.lit(0))).cast("int")}
+    if total:
+        merge[total] = F.col("_all")
     return _scan(
         df, group, order,
         local={"_at": lambda w: F.row_number().over(w)},
         summary=[F.count("*").alias("_rows")],
-        across={"_base": lambda w: F.sum("_rows").over(_before(w))},
-        merge=(F.col("_at") - 1 + F.coalesce("_base", F.lit(0))).cast("int"),
-        out=out, span=span,
+        across={
+            "_base": lambda w: F.sum("_rows").over(_before(w)),
+            "_all": lambda w: F.sum("_rows").over(_whole(group)),
+        },
+        merge=merge, span=span,
     )
 
 
@@ -70,8 +91,7 @@ def running_sum(df: DataFrame, group: Sequence[str], order: str, value: Column,
         local={"_part": lambda w: F.sum("_value").over(w.rowsBetween(Window.unboundedPreceding, 0))},
         summary=[F.sum("_value").alias("_sum")],
         across={"_base": lambda w: F.sum("_sum").over(_before(w))},
-        merge=F.col("_part") + F.coalesce("_base", F.lit(0)),
-        out=out, span=span,
+        merge={out: F.col("_part") + F.coalesce("_base", F.lit(0))}, span=span,
     ).drop("_value")
 
 
@@ -83,8 +103,7 @@ def carry_forward(df: DataFrame, group: Sequence[str], order: str, value: Column
             w.rowsBetween(Window.unboundedPreceding, 0))},
         summary=[F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last")],
         across={"_far": lambda w: F.last("_last", ignorenulls=True).over(_before(w))},
-        merge=F.coalesce("_near", "_far"),
-        out=out, span=span,
+        merge={out: F.coalesce("_near", "_far")}, span=span,
     ).drop("_value")
 
 
@@ -96,8 +115,7 @@ def previous(df: DataFrame, group: Sequence[str], order: str, value: Column, out
         local={"_near": lambda w: F.lag("_value").over(w)},
         summary=[F.max_by("_value", order).alias("_last")],
         across={"_far": lambda w: F.lag("_last").over(w)},
-        merge=F.coalesce("_near", "_far")["v"],
-        out=out, span=span,
+        merge={out: F.coalesce("_near", "_far")["v"]}, span=span,
     ).drop("_value")
 
 
