@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,8 +20,22 @@ BLANK_CLASS = (
     r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Counts the tokens of every string of an array column.
-Counter = Callable[[Column], Column]
+# All other code points, the common ranges first: a regex engine tries the
+# ranges in order, so testing "not blank" this way is fast for real text.
+SOLID_CLASS = (
+    r"\x21-\x84\xa1-\u167f\u3001-\x{10ffff}\u2060-\u2fff\u2030-\u205e\u200b-\u2027"
+    r"\u1681-\u1fff\u202a-\u202e\x86-\x9f\x00-\x08\x0e-\x1b"
+)
+
+
+@dataclass(frozen=True)
+class Counter:
+    """Token counting for chunkers. ``many`` counts every string of an array
+    column; ``each`` counts one string and may be used inside array
+    expressions (None if the counter cannot). Strings come stripped."""
+
+    many: Callable[[Column], Column]
+    each: Callable[[Column], Column] | None = None
 
 
 def strip(x: Column) -> Column:
@@ -48,16 +63,26 @@ def sentences(x: Column) -> Column:
     return _nonempty(F.split(x, rf"(?<=[.!?])[{BLANK_CLASS}]+"))
 
 
+def _runs(stripped: Column) -> Column:
+    """Number of non-blank runs: each, with the blanks after it, becomes one
+    character. No array of tokens is built."""
+    pattern = rf"[{SOLID_CLASS}]++[^{SOLID_CLASS}]*+"
+    return F.length(F.regexp_replace(stripped, pattern, "x"))
+
+
 def words(x: Column) -> Column:
     """Number of white-space separated tokens."""
-    bare = strip(x)
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, rf"[{BLANK_CLASS}]+")))
+    return _runs(strip(x))
 
 
 def word_counter(special: int = 0) -> Counter:
     """Default counter. ``special`` is added once per string, as a model
     tokenizer adds its begin and end marks to each string it encodes."""
-    return lambda texts: F.transform(texts, lambda t: words(t) + F.lit(special))
+
+    def each(text: Column) -> Column:
+        return _runs(text) + F.lit(special) if special else _runs(text)
+
+    return Counter(many=lambda texts: F.transform(texts, each), each=each)
 
 
 def model_counter(make_tokenizer: Callable[[], Callable[[str], int]]) -> Counter:
@@ -74,4 +99,4 @@ def model_counter(make_tokenizer: Callable[[], Callable[[str], int]]) -> Counter
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(count, "array<int>")
-    return lambda texts: udf(texts)
+    return Counter(many=lambda texts: udf(texts))

@@ -46,24 +46,48 @@ def greedy_starts(cap: int):
     return starts
 
 
-def explode_units(texts: Column, sizes: Column, cap: int) -> Column:
-    """One array of units: a text within the cap as it is, a longer one as its
-    sentences. Fields: ``kind``, ``para`` (position of the text), ``text``."""
-    pairs = F.arrays_zip(texts.alias("t"), sizes.alias("n"))
+def explode_units(
+    items: Column, sizes: Column, cap: int, counter: tx.Counter, carry: Sequence[str] = ()
+) -> Column:
+    """One array of units from ``items`` (structs with ``para, text`` and the
+    fields ``carry``): an item within the cap as it is, a longer one as its
+    sentences. Fields: ``kind, para, text, n`` and ``carry``; ``n`` is NULL
+    where the counter cannot count inside an array expression."""
+
+    def unit(kind: int, item: Column, text: Column, n: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            item["para"].cast("int").alias("para"),
+            text.alias("text"),
+            n.cast("int").alias("n"),
+            *[item[c].alias(c) for c in carry],
+        )
+
+    def count(text: Column) -> Column:
+        return counter.each(text) if counter.each else F.lit(None)
+
+    pairs = F.arrays_zip(items.alias("item"), sizes.alias("n"))
     return F.flatten(
         F.transform(
             pairs,
-            lambda z, i: F.when(z["n"] <= cap, F.array(_unit(PARAGRAPH, i, z["t"]))).otherwise(
-                F.transform(tx.sentences(z["t"]), lambda s: _unit(SENTENCE, i, s))
+            lambda z: F.when(
+                z["n"] <= cap, F.array(unit(PARAGRAPH, z["item"], z["item"]["text"], z["n"]))
+            ).otherwise(
+                F.transform(
+                    tx.sentences(z["item"]["text"]),
+                    lambda s: unit(SENTENCE, z["item"], s, count(s)),
+                )
             ),
         )
     )
 
 
-def _unit(kind: int, para: Column, text: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"), para.cast("int").alias("para"), text.alias("text")
-    )
+def with_sizes(units: DataFrame, name: str, counter: tx.Counter) -> DataFrame:
+    """Add ``_n``, the token counts of the unit array ``name``."""
+    if counter.each:
+        return units.withColumn("_n", F.col(f"{name}.n"))
+    counted = units.withColumn("_n", counter.many(F.col(f"{name}.text")))
+    return settle(counted, units.columns, _n=F.col("_n"))
 
 
 def spans(starts: Column, total: Column) -> Column:
@@ -101,19 +125,22 @@ def pack_documents(
     ``chunk_index, total_chunks, kind, text``.
     """
     counter = counter or tx.word_counter()
-    paras = settle(docs, keep, _paras=tx.paragraphs(F.col(text), separator))
-    sized = paras.withColumn("_sizes", counter(F.col("_paras")))
+    items = F.transform(
+        tx.paragraphs(F.col(text), separator),
+        lambda p, i: F.struct(i.alias("para"), p.alias("text")),
+    )
+    paras = settle(docs, keep, _items=items)
+    sized = paras.withColumn("_sizes", counter.many(F.col("_items.text")))
     units = settle(
-        sized, keep, _units=explode_units(F.col("_paras"), F.col("_sizes"), cap)
+        sized, keep, _units=explode_units(F.col("_items"), F.col("_sizes"), cap, counter)
     )
     # paragraphs share run -1; the sentences of a paragraph share its position
     run = F.transform(
         F.col("_units"), lambda u: F.when(u["kind"] == SENTENCE, u["para"]).otherwise(F.lit(-1))
     )
-    counted = settle(
-        units.withColumn("_n", counter(F.col("_units.text"))), [*keep, "_units", "_n"], _run=run
+    bounded = with_sizes(units, "_units", counter).withColumn(
+        "_starts", greedy_starts(cap)(run, F.col("_n"))
     )
-    bounded = counted.withColumn("_starts", greedy_starts(cap)(F.col("_run"), F.col("_n")))
     chunks = let(
         F.struct(
             F.col("_units.kind").alias("kinds"),

@@ -15,7 +15,9 @@ from stackleaf.operators.chunking import (
     DEFAULT_CAP,
     PARAGRAPH,
     SENTENCE,
+    explode_units,
     spans,
+    with_sizes,
 )
 from stackleaf.operators.ordered import previous, running_sum
 
@@ -76,8 +78,15 @@ def list_runs(blocks: Column, merge: bool = True) -> Column:
             ).alias("pages"),
         )
 
+    def single(b: Column) -> Column:
+        pages = F.when(b["page_no"].isNotNull(), F.array(b["page_no"])).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.struct(b["kind"].alias("kind"), b["text"].alias("text"), pages.alias("pages"))
+
+    apart = F.transform(blocks, single)
     if not merge:
-        return F.transform(blocks, lambda b: unit(F.array(b)))
+        return apart
 
     def islands(d: Column) -> Column:
         kinds = F.transform(d["b"], lambda b, i: F.struct(b["kind"].alias("kind"), i.alias("i")))
@@ -92,7 +101,8 @@ def list_runs(blocks: Column, merge: bool = True) -> Column:
             lambda s: unit(F.slice(d["b"], s["start"] + 1, s["len"])),
         )
 
-    return let(F.struct(blocks.alias("b")), islands)
+    listed = F.exists(blocks, lambda b: b["kind"] == "list")
+    return F.when(listed, let(F.struct(blocks.alias("b")), islands)).otherwise(apart)
 
 
 def contextualize(parents: Column, heading: Column, text: Column) -> Column:
@@ -170,7 +180,8 @@ def chunk_blocks(
     parent_headings, page_numbers``.
     """
     counter = counter or tx.word_counter()
-    units = settle(docs, keep, _units=list_runs(F.col(blocks), merge_list_items))
+    given = settle(docs, keep, _blocks=F.col(blocks))
+    units = settle(given, keep, _units=list_runs(F.col("_blocks"), merge_list_items))
     titled = F.transform(
         "_units", lambda u: F.when((u["kind"] == "heading") & (u["text"] != ""), u["text"])
     )
@@ -184,45 +195,21 @@ def chunk_blocks(
         lambda u: u["kind"] != "heading",
     )
     parted = settle(units, keep, _titles=titled, _items=content)
-    sized = parted.withColumn("_sizes", counter(F.col("_items.text")))
-
-    def piece(kind: int, item: Column, text: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            item["para"].cast("int").alias("para"),
-            text.alias("text"),
-            item["pages"].alias("pages"),
-        )
-
-    pairs = F.arrays_zip(F.col("_items").alias("item"), F.col("_sizes").alias("n"))
+    sized = parted.withColumn("_sizes", counter.many(F.col("_items.text")))
     pieces = settle(
         sized,
         [*keep, "_titles"],
-        _pieces=F.flatten(
-            F.transform(
-                pairs,
-                lambda z: F.when(
-                    z["n"] <= cap, F.array(piece(PARAGRAPH, z["item"], z["item"]["text"]))
-                ).otherwise(
-                    F.transform(
-                        tx.sentences(z["item"]["text"]), lambda s: piece(SENTENCE, z["item"], s)
-                    )
-                ),
-            )
-        ),
+        _pieces=explode_units(F.col("_items"), F.col("_sizes"), cap, counter, carry=["pages"]),
         _numbers=F.transform("_titles", hd.section_number),
         _marks=F.transform("_titles", lambda t: F.xxhash64(t)),
     )
     own = [*keep, "_titles", "_pieces"]
-    counted = settle(
-        pieces.withColumn("_n", counter(F.col("_pieces.text"))),
-        [*own, "_n", "_numbers", "_marks"],
-        _kinds=F.col("_pieces.kind"),
-        _paras=F.col("_pieces.para"),
-    )
+    counted = with_sizes(pieces, "_pieces", counter)
     placed = counted.select(
         *own,
-        place_chunks(cap, merge_peers)("_numbers", "_marks", "_kinds", "_paras", "_n").alias("_at"),
+        place_chunks(cap, merge_peers)(
+            "_numbers", "_marks", F.col("_pieces.kind"), F.col("_pieces.para"), "_n"
+        ).alias("_at"),
     )
 
     def chunk(b: Column, i: Column, d: Column) -> Column:
