@@ -9,7 +9,7 @@ from stackleaf.functions import keys
 from stackleaf.functions import text as tx
 from stackleaf.operators import structure
 from stackleaf.plans.settings import Settings
-from stackleaf.sources.tables import read_table, spread
+from stackleaf.sources.tables import read_table, spread, work_folder
 
 # The test texts have no blank lines and are short, so the queries split at
 # single newlines and use a small cap; both are ordinary parameters.
@@ -166,14 +166,22 @@ def arrivals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, as a ledger or a chunk store
+    would be; queries then read it as often as they need."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ledger_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(live entries, incoming files): keys only."""
+    """(live entries, incoming files): tables of keys."""
     from stackleaf.operators import ledger as lg
 
-    both = arrivals(spark, sf).drop("text")
+    both = saved(arrivals(spark, sf).drop("text"), "arrivals")
     none = both.where(F.lit(False)).drop("side")
     live = lg.swap(none, both.where(F.col("side") == "current").drop("side")).live
-    return live, both.where(F.col("side") == "incoming").drop("side")
+    return saved(live, "live"), both.where(F.col("side") == "incoming").drop("side")
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:

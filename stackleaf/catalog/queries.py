@@ -305,10 +305,9 @@ def merge_list_items(spark, sf):
     parsed = fx.page_blocks(spark, sf).select("page_id", F.explode("blocks").alias("b")).select(
         "page_id", "b.idx", "b.kind", "b.text"
     )
-    path = work_folder(spark, "blocks")
-    parsed.write.parquet(path)
-    rows = spark.read.schema(parsed.schema).parquet(path)
-    return structure.merge_list_rows(rows, ["page_id"], "idx", "kind", "text").select(
+    return structure.merge_list_rows(
+        fx.saved(parsed, "blocks"), ["page_id"], "idx", "kind", "text"
+    ).select(
         "page_id", F.col("unit").cast("bigint").alias("unit"), "kind", "items", "text"
     )
 
@@ -490,12 +489,12 @@ def supersede_events(spark, sf):
 @query
 def compact_chunks(spark, sf):
     """Chunks of the documents, less those of versions that are not live."""
-    live = lg.swap(*fx.ledger_sides(spark, sf)).live
+    live = fx.saved(lg.swap(*fx.ledger_sides(spark, sf)).live, "live-after")
     chunks = fx.packed(spark, sf).select(
         "doc_id", "content_hash", F.lit(fx.CONFIG).alias("pipeline_config_hash"), "chunk_index",
         keys.chunk_id(F.col("text")).alias("chunk_id"),
     )
-    return lg.compact(chunks, live).select("doc_id", "chunk_index", "chunk_id")
+    return lg.compact(fx.saved(chunks, "chunks"), live).select("doc_id", "chunk_index", "chunk_id")
 
 
 def _plain_ingest() -> Ingest:
