@@ -1,10 +1,59 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from llm.licenses import RULES, SENTENCES, normal_form
+
 _BLANK_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x : x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _licenses() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    known = ", ".join(f"({quoted(normal_form(text))}, {quoted(name)})" for name, text in SENTENCES.items())
+    rules = ", ".join(
+        f"({i}, {quoted(name)}, {quoted(licence)}, {quoted('|' + '|'.join(steps) + '|')})"
+        for i, (name, licence, steps) in enumerate(RULES)
+    )
+    return rf"""
+with known(part, id) as (values {known}), rules(i, rule, licence, steps) as (values {rules}),
+cut as (select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text,
+    '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), '\n(\p{{Lu}})', chr(1) || '\1', 'g'), chr(1)) s
+  from documents),
+parts as (select doc_id, unnest(s) s, unnest(range(len(s))) k from cut),
+found as (select doc_id, k, id from parts join known on part = trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))),
+doc as (select doc_id, string_agg(id, ',' order by k) ids, '|' || string_agg(id, '|' order by k) || '|' r from found group by doc_id),
+hit as (select doc_id, rules.* from doc join rules on contains(r, steps)),
+kept as (select * from hit h where not exists
+  (select 1 from hit e where e.doc_id = h.doc_id and e.i < h.i and contains(e.steps, h.steps))),
+lic as (select doc_id, string_agg(licence, ',' order by i) l from (select doc_id, licence, min(i) i from kept group by all) group by doc_id),
+named as (select doc_id, string_agg(rule, ',' order by i) n from kept group by doc_id)
+select doc_id, ids sentence_ids, coalesce(n, '') rules, coalesce(l, '') licenses
+from doc left join named using (doc_id) left join lic using (doc_id)"""
+
+
 ORACLE = {
+    "op1_token_counts": rf"""
+with d as (select doc_id, source, lang, case when doc_id % 5 = 0 then string_split(text, chr(10))[1] else text end t
+           from documents where doc_id % 7 <> 0),
+c as (select source, lang, v.version, case v.version when 'blank-1' then len(regexp_extract_all(coalesce(t, ''), '[^\x20\x09-\x0D]+'))
+        else len(regexp_extract_all(coalesce(t, ''), '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+|[!-/:-@\[-`{{-~]')) end n
+      from d, (values ('blank-1'), ('split-1')) v(version))
+select source, lang, version, count(*) documents, sum(n)::bigint tokens from c group by all""",
+    "op3_licenses": _licenses(),
+    "op8_chat": r"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+           union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, length(regexp_replace(text, '[<\[\\]', 'xx', 'g')) n,
+        length(regexp_replace(role, '[<\[\\\n]', 'xx', 'g')) m from c)
+select conv_id, count(*) n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  sum(8 + m + 1 + n + 7)::bigint formatted_chars
+from e group by conv_id""",
     "op2_substrings": f"""
 with d as (select doc_id, {_BLANK_WORDS} w from documents),
 p as (select doc_id, unnest(range(1, len(w) - 48)) s from d where len(w) >= 50),

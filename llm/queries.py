@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from llm import byte_bpe, decontaminate, language, near_dups, substrings
+from llm import byte_bpe, chat, decontaminate, language, licenses, lm_score, near_dups, outliers, substrings
+from llm.scratch import Scratch
+from llm.token_counts import TokenTotals, counted
 from stackleaf.sources.tables import read_table
 
 
@@ -17,11 +22,39 @@ def vocabulary_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents are inserted under both tokenizer versions; then every
+    seventh is deleted, and every fifth of the others is revised to its first line."""
+    docs = read_table(spark, folder, "documents")
+    totals = TokenTotals(spark, Scratch(spark, "totals").folder)
+    inserts = counted(docs, "blank-1").unionByName(counted(docs, "split-1"))
+    totals.commit(1, inserts)
+    versions = F.explode(F.array(F.lit("blank-1"), F.lit("split-1"))).alias("version")
+    gone = docs.where("doc_id % 7 = 0").select("doc_id", versions).select(
+        "doc_id", "version", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("source"),
+        F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("tokens"),
+    )
+    moved = docs.where("doc_id % 7 <> 0 and doc_id % 5 = 0").withColumn("text", F.substring_index("text", "\n", 1))
+    revised = counted(moved, "blank-1", "revise").unionByName(counted(moved, "split-1", "revise"))
+    changes = gone.unionByName(revised)
+    totals.commit(2, changes)
+    totals.commit(2, changes)  # a commit that is repeated changes nothing
+    return totals.totals()
+
+
 def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.remove_repeats(read_table(spark, folder, "documents"), window=50, with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, folder, "documents"))
+
+
+def op4_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judge(read_table(spark, folder, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_benchmark(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), window=10
@@ -29,11 +62,53 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score(read_table(spark, folder, "documents"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return language.identify(docs, language.fit(docs))
 
 
+def _read_back(batches):
+    """Digests of what a reader gets back from formatted conversations."""
+    for batch in batches:
+        columns = [[] for _ in range(5)]
+        for formatted, loss in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            turns = chat.parse(formatted)
+            lines = "".join(f"{role}\n{text}\n" for role, text in turns)
+            learned = "".join(chat.unescape(formatted[x["start"] : x["end"]]) for x in loss)
+            for column, value in zip(
+                columns, (len(turns), _sha256(lines), len(learned), _sha256(learned), len(formatted)), strict=True
+            ):
+                column.append(value)
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=names)
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation is a reply tree of one branch: every turn answers the one before."""
+    own = "</s>[INST] ok [/INST]"
+    rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(
+        spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    )
+    # rows of one turn follow each other
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
+    messages = rows.select(
+        F.col("conv_id").alias("tree"), "node", (F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")
+    )
+    found = chat.format_trees(messages)
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return found.select(F.col("tree").alias("conv_id"), "formatted", "loss").mapInArrow(_read_back, schema)
+
+
 def op9_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, folder, "documents"), percent=75)
 
@@ -43,9 +118,14 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_substrings": op2_substrings,
+    "op3_licenses": op3_licenses,
+    "op4_outliers": op4_outliers,
     "op5_decontaminate": op5_decontaminate,
+    "op6_lm_score": op6_lm_score,
     "op7_language": op7_language,
+    "op8_chat": op8_chat,
     "op9_near_dups": op9_near_dups,
     "op10_byte_bpe": op10_byte_bpe,
 }
