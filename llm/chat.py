@@ -28,26 +28,27 @@ OPEN, ROLE_END, CLOSE, ESCAPE = "<|turn|>", "\n", "<|end|>", "\\"
 LEARNED_ROLE = "assistant"
 # Strings that mean something to common templates, kept apart as well.
 CONTROL = (OPEN, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
-_FIRST = sorted({x[0] for x in CONTROL})
+# What stands behind a backslash in place of a character that a control string
+# could begin with; a line end is replaced in roles only.
+_CODE = {ESCAPE: ESCAPE, "<": "l", "[": "b", "\n": "n"}
+_MEANS = {code: char for char, code in _CODE.items()}
 
 
 def escape(text: str, inside_role: bool = False) -> str:
-    """A backslash goes before each backslash and each character a control string
-    could begin with; a line end in a role becomes ``\\\\n``."""
-    out = text.replace(ESCAPE, ESCAPE * 2)
-    for first in _FIRST:
-        out = out.replace(first, ESCAPE + first)
-    return out.replace("\n", ESCAPE + "n") if inside_role else out
+    """The text without any character that could begin a control string."""
+    for char, code in _CODE.items():
+        if char != "\n" or inside_role:
+            text = text.replace(char, ESCAPE + code)
+    return text
 
 
-def unescape(text: str, inside_role: bool = False) -> str:
+def unescape(text: str) -> str:
     out, i = [], 0
     while True:
         j = text.find(ESCAPE, i)
         if j < 0:
             return "".join(out) + text[i:]
-        mark = text[j + 1]
-        out += [text[i:j], "\n" if inside_role and mark == "n" else mark]
+        out += [text[i:j], _MEANS[text[j + 1]]]
         i = j + 2
 
 
@@ -73,7 +74,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
             raise ValueError(f"no turn begins at {i}")
         line = formatted.index(ROLE_END, i)
         end = formatted.index(CLOSE, line)
-        turns.append((unescape(formatted[i + len(OPEN) : line], True), unescape(formatted[line + 1 : end])))
+        turns.append((unescape(formatted[i + len(OPEN) : line]), unescape(formatted[line + 1 : end])))
         i = end + len(CLOSE)
     return turns
 

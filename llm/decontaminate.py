@@ -283,7 +283,7 @@ def find_benchmark(
             F.flatten(F.collect_set("items")).alias("items"),
             (F.count("*") / parts).alias("rows"),
         )
-        looked = gathered.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+        looked = gathered.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     found = looked.select("row", "n_words", "starts", "ends", "items").mapInArrow(_settle, f"{row}, {_RESULT}")
     found = found.select(F.col("row")["doc_id"].cast("long").alias("doc_id"), "*")
     return found if carry else found.drop("row")
