@@ -151,8 +151,12 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) ->
     usable = usable.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
     keys = usable.select("doc_id", "lang")
     share = max(1, rows // max(1, keys.select("lang").distinct().count()))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= share)
+    # first within a part of each language, so that no task orders a whole one
+    hashed = keys.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod("h", F.lit(64)))
+    for parts in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*parts).orderBy("h", "doc_id")
+        hashed = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= share)
+    chosen = hashed
     chosen = scratch.save(chosen.orderBy("place", "lang").limit(rows).select("doc_id", "lang").distinct())
     texts = usable.join(small(chosen, 60), ["doc_id", "lang"])
     found = texts.select("lang", "text").mapInArrow(_distinct, "lang string, grams binary")
