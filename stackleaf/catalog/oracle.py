@@ -394,7 +394,8 @@ ORACLE: dict[str, str] = {
     "ledger_lookup": f"""WITH {ARRIVALS} SELECT inc.content_hash, live0.filename
       FROM inc LEFT JOIN live0 USING (content_hash)""",
     "ledger_insert_new": f"""WITH {ARRIVALS} SELECT filename, content_hash,
-      CASE WHEN content_hash IN (SELECT content_hash FROM live0) THEN 'conflict' ELSE 'insert' END AS outcome FROM inc""",
+      CASE WHEN content_hash IN (SELECT content_hash FROM live0)
+        OR row_number() OVER (PARTITION BY content_hash ORDER BY filename) > 1 THEN 'conflict' ELSE 'insert' END AS outcome FROM inc""",
     "find_superseded": f"WITH {ARRIVALS} SELECT filename, content_hash FROM evicted",
     "supersede_snapshot": f"WITH {ARRIVALS} SELECT filename, content_hash FROM live",
     "supersede_events": f"""WITH {ARRIVALS} SELECT 'delete' AS op, filename, content_hash FROM evicted

@@ -620,7 +620,7 @@ def embed_hashing(spark, sf):
 
 def _top(metric):
     def run(spark, sf):
-        hits = rt.top_k(fx.chunks(spark, sf), fx.questions(spark, sf), metric=metric)
+        hits = rt.top_k(fx.chunks(spark, sf), fx.questions(spark, sf), metric=metric, digits=6)
         return hits.select("query_id", "rank", "chunk_id", "score")
 
     run.__name__ = f"topk_{metric}"
@@ -633,14 +633,14 @@ for _metric in ("cosine", "l2", "ip"):
 
 @query
 def topk_prefilter(spark, sf):
-    hits = rt.top_k_prefiltered(fx.chunks(spark, sf), fx.questions(spark, sf))
+    hits = rt.top_k_prefiltered(fx.chunks(spark, sf), fx.questions(spark, sf), digits=6)
     return hits.select("query_id", "rank", "chunk_id", "score")
 
 
 @query
 def topk_postfilter(spark, sf):
     hits = rt.top_k_postfiltered(
-        fx.chunks(spark, sf), fx.questions(spark, sf), config=fx.CONFIG
+        fx.chunks(spark, sf), fx.questions(spark, sf), config=fx.CONFIG, digits=6
     )
     return hits.select("query_id", "rank", "chunk_id", "score")
 
@@ -648,7 +648,7 @@ def topk_postfilter(spark, sf):
 def _hits(spark, sf) -> DataFrame:
     chunks, questions = fx.chunks(spark, sf), fx.questions(spark, sf)
     return rt.attach(
-        rt.top_k_prefiltered(chunks, questions),
+        rt.top_k_prefiltered(chunks, questions, digits=6),
         chunks,
         ["headings", "parent_headings", "summary", "raw_text", "page_content"],
         max_rows=questions.count() * rt.DEFAULT_K,
@@ -664,7 +664,7 @@ def hit_projection(spark, sf):
 def hit_citations(spark, sf):
     chunks, questions = fx.chunks(spark, sf), fx.questions(spark, sf)
     hits = rt.attach(
-        rt.top_k_prefiltered(chunks, questions),
+        rt.top_k_prefiltered(chunks, questions, digits=6),
         chunks,
         ["filename", "content_hash", "chunk_index", "total_chunks", "page_numbers"],
         max_rows=questions.count() * rt.DEFAULT_K,
@@ -714,7 +714,7 @@ def _index(spark, sf, nlist=16):
 def ivf_flat(spark, sf):
     """All clusters probed: equals the exact search."""
     _, clusters, index = _index(spark, sf)
-    hits = ann.ivf_search(index, clusters, fx.questions(spark, sf), nprobe=16)
+    hits = ann.ivf_search(index, clusters, fx.questions(spark, sf), nprobe=16, digits=6)
     return hits.select("query_id", "rank", "chunk_id", "score")
 
 
@@ -723,7 +723,7 @@ def ivf_sq8(spark, sf):
     chunks, clusters, assigned = _index(spark, sf)
     codec = ann.ByteCodec.fit(chunks)
     index = ann.sq8_index(assigned, codec)
-    hits = ann.sq8_search(index, codec, clusters, fx.questions(spark, sf), chunks, nprobe=16)
+    hits = ann.sq8_search(index, codec, clusters, fx.questions(spark, sf), chunks, nprobe=16, digits=6)
     return hits.select("query_id", "rank", "chunk_id", "score")
 
 
@@ -732,5 +732,5 @@ def ivf_pq(spark, sf):
     chunks, clusters, assigned = _index(spark, sf)
     codec = ann.ProductCodec.fit(chunks, parts=8, codes=16, max_iter=5)
     index = ann.pq_index(assigned, codec)
-    hits = ann.pq_search(index, codec, clusters, fx.questions(spark, sf), chunks, nprobe=16)
+    hits = ann.pq_search(index, codec, clusters, fx.questions(spark, sf), chunks, nprobe=16, digits=6)
     return hits.select("query_id", "rank", "chunk_id", "score")

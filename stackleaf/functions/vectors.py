@@ -17,8 +17,8 @@ def dot(a: Column, b: Column) -> Column:
     return _total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
-def similarity(a: Column, b: Column, metric: str = "cosine", digits: int = 6) -> Column:
-    """Rounded score. Adding zero turns a rounded -0.0 into 0.0."""
+def similarity(a: Column, b: Column, metric: str = "cosine", digits: int | None = None) -> Column:
+    """The score, rounded if ``digits`` are given. Adding zero turns -0.0 into 0.0."""
     if metric == "ip":
         raw = dot(a, b)
     elif metric == "cosine":
@@ -37,4 +37,4 @@ def similarity(a: Column, b: Column, metric: str = "cosine", digits: int = 6) ->
         )
     else:
         raise ValueError(f"unknown metric {metric!r}; use one of {sorted(METRICS)}")
-    return F.round(raw, digits) + F.lit(0.0)
+    return (raw if digits is None else F.round(raw, digits)) + F.lit(0.0)

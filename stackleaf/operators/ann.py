@@ -106,6 +106,7 @@ def _search_clusters(
     k: int,
     nprobe: int,
     metric: str,
+    digits: int | None = None,
 ) -> DataFrame | None:
     """Best ``k`` in the probed clusters, by the vectors that ``decode`` makes
     of ``column``. Clusters nobody probes are filtered out ahead of the scan
@@ -128,7 +129,7 @@ def _search_clusters(
         source = index.select("chunk_id", column, "cluster")
         if len(used) < len(clusters.centers):
             source = source.where(F.col("cluster").isin(used))
-        parts.append(rt._scan(source, piece, k, metric, prepare))
+        parts.append(rt._scan(source, piece, k, metric, prepare, digits))
     if not parts:
         return None
     return rt.rank_hits(reduce(DataFrame.unionByName, parts), k, metric)
@@ -141,11 +142,12 @@ def ivf_search(
     k: int = rt.DEFAULT_K,
     nprobe: int = 8,
     metric: str = "cosine",
+    digits: int | None = None,
 ) -> DataFrame:
     """Search the ``nprobe`` nearest clusters of each question. ``index``:
     ``chunk_id, embedding, cluster``."""
     hits = _search_clusters(
-        index, clusters, questions, "embedding", lambda v: v.astype(np.float64), k, nprobe, metric
+        index, clusters, questions, "embedding", lambda v: v.astype(np.float64), k, nprobe, metric, digits
     )
     return rt.no_hits(index, questions) if hits is None else hits
 
@@ -202,6 +204,7 @@ def sq8_search(
     nprobe: int = 8,
     metric: str = "cosine",
     refine: int = 4,
+    digits: int | None = None,
 ) -> DataFrame:
     """Search by decoded codes, then exact scores for the best ``refine * k``
     candidates of each question."""
@@ -210,7 +213,7 @@ def sq8_search(
     )
     if found is None:
         return rt.no_hits(index, questions)
-    return rt.rescore(found, vectors, questions, k, metric, questions.count() * k * refine)
+    return rt.rescore(found, vectors, questions, k, metric, questions.count() * k * refine, digits)
 
 
 # --- product codes -------------------------------------------------------------
@@ -289,6 +292,7 @@ def pq_search(
     nprobe: int = 8,
     metric: str = "cosine",
     refine: int = 8,
+    digits: int | None = None,
 ) -> DataFrame:
     """As the 8-bit search, with vectors rebuilt from the codebooks."""
-    return sq8_search(index, codec, clusters, questions, vectors, k, nprobe, metric, refine)
+    return sq8_search(index, codec, clusters, questions, vectors, k, nprobe, metric, refine, digits)

@@ -54,7 +54,7 @@ def _call(client: Any, system: str, user: str, max_tokens: int, form, waits, sle
         try:
             if form is not None and hasattr(client, "complete_structured"):
                 out = client.complete_structured(system, user, form, max_tokens)
-                return str(out.get("summary", ""))
+                return str(out.get("summary") or "")
             return client.complete(system, user, max_tokens)
         except Throttled:
             if wait is None:
@@ -133,6 +133,7 @@ def summarize(
     chunks: DataFrame,
     make_client: Callable[[], Client] | None = None,
     saved: str | None = None,
+    max_tokens: int = SUMMARY_TOKENS,
     **options,
 ) -> DataFrame:
     """Add ``summary`` (and ``summary_error``). Without a client the summary
@@ -142,7 +143,7 @@ def summarize(
         return chunks.withColumn("summary", replies.lead_sentences(F.col("text"))).withColumn(
             "summary_error", F.lit(None).cast("string")
         )
-    udf = reply_udf(make_client, SUMMARY_SYSTEM, SUMMARY_TOKENS, form=SUMMARY_FORM, **options)
+    udf = reply_udf(make_client, SUMMARY_SYSTEM, max_tokens, form=SUMMARY_FORM, **options)
     known = call_once(
         chunks.withColumn("_text_id", F.sha2("text", 256)), "_text_id", "text", udf, saved
     )
@@ -155,9 +156,15 @@ def summarize(
     )
 
 
-def answer(prompts: DataFrame, make_client: Callable[[], Client], system: str, **options) -> DataFrame:
+def answer(
+    prompts: DataFrame,
+    make_client: Callable[[], Client],
+    system: str,
+    max_tokens: int = ANSWER_TOKENS,
+    **options,
+) -> DataFrame:
     """``query_id, answer, error`` for each prompt."""
-    udf = reply_udf(make_client, system, ANSWER_TOKENS, **options)
+    udf = reply_udf(make_client, system, max_tokens, **options)
     return prompts.withColumn("_r", udf(F.col("prompt"))).select(
         "query_id", F.col("_r.reply").alias("answer"), F.col("_r.error").alias("error")
     )

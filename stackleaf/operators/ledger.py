@@ -61,9 +61,13 @@ def lookup(wanted: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def insert_new(live: DataFrame, entries_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Insert-if-absent: (entries to append, conflicting entries)."""
-    known = live.select(*KEY)
-    return entries_.join(known, KEY, "left_anti"), entries_.join(known, KEY, "left_semi")
+    """Insert-if-absent: (entries to append, conflicting entries). Of several
+    entries with one key the first by filename is inserted, if any."""
+    known = live.select(*KEY).distinct().withColumn("_known", F.lit(True))
+    order = Window.partitionBy(*KEY).orderBy("filename")
+    told = entries_.join(known, KEY, "left").withColumn("_n", F.row_number().over(order))
+    new = F.col("_known").isNull() & (F.col("_n") == 1)
+    return told.where(new).select(entries_.columns), told.where(~new).select(entries_.columns)
 
 
 def find_superseded(live: DataFrame, incoming: DataFrame) -> DataFrame:

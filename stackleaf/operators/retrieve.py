@@ -29,10 +29,8 @@ from stackleaf.sources.tables import MAX_BROADCAST_ROWS, work_folder
 DEFAULT_K = 10
 DEFAULT_FILTER = "headings != 'Contents'"
 DEFAULT_EXCLUDED = "Contents"
-MAX_CANDIDATES = 100
 
 MAX_SLICE_BYTES = 64 << 20
-DIGITS = 6
 _BLOCK_CELLS = 2_000_000
 
 
@@ -54,8 +52,10 @@ def question_slices(
     """The question batch in slices of measured size.
 
     One small aggregate measures the batch. If it is too large, the number of
-    hash slices doubles until the largest one fits.
+    hash slices doubles until the largest one fits. Questions without a vector
+    are left out.
     """
+    questions = questions.where(F.col(vector).isNotNull())
     size = F.size(vector) * F.lit(8) + F.lit(64)
     slices = 1
     while True:
@@ -118,7 +118,8 @@ class BestK:
 
 
 def _block_scores(rows: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarray:
-    """Scores where larger is better (distances come back negative)."""
+    """Scores where larger is better. Distances come back negative and as
+    expanded squares, which are off by rounding; ``_offer_near`` corrects them."""
     if metric == "ip":
         raw = rows @ questions.T
     elif metric == "cosine":
@@ -127,11 +128,8 @@ def _block_scores(rows: np.ndarray, questions: np.ndarray, metric: str) -> np.nd
         norms = a * b
         raw = np.divide(rows @ questions.T, norms, out=np.zeros_like(norms), where=norms > 0)
     else:
-        square = (
-            (rows**2).sum(1)[:, None] + (questions**2).sum(1)[None, :] - 2 * rows @ questions.T
-        )
-        raw = -np.sqrt(np.maximum(square, 0))
-    return np.round(raw, DIGITS) + 0.0
+        raw = 2 * rows @ questions.T - (rows**2).sum(1)[:, None] - (questions**2).sum(1)[None, :]
+    return raw
 
 
 def _offer(best: BestK, scores: np.ndarray, ids_at, columns: np.ndarray) -> None:
@@ -147,6 +145,33 @@ def _offer(best: BestK, scores: np.ndarray, ids_at, columns: np.ndarray) -> None
         best.add(columns[c], scores[r, c], ids_at(rows)[back])
 
 
+def _rounded(scores: np.ndarray, digits: int | None) -> np.ndarray:
+    return scores if digits is None else np.round(scores, digits) + 0.0
+
+
+def _offer_near(best: BestK, rows, questions, ids_at, columns: np.ndarray, digits: int | None) -> None:
+    """As ``_offer`` for distances: pairs that could be among the best, given how
+    far the expanded squares may be off, are measured again by differences."""
+    square = -_block_scores(rows, questions, "l2")
+    size = (rows**2).sum(1)[:, None] + (questions**2).sum(1)[None, :]
+    off = 4 * (rows.shape[1] + 8) * np.finfo(np.float64).eps * size
+    least = -_rounded(np.sqrt(np.maximum(square - off, 0)), digits)
+    most = -_rounded(np.sqrt(square + off), digits)
+    floor = best.floor[columns]
+    if len(rows) > best.k:
+        floor = np.maximum(floor, np.partition(most, len(most) - best.k, axis=0)[len(most) - best.k])
+    r, c = np.nonzero(least >= floor[None, :])
+    if len(r):
+        exact = np.concatenate(
+            [
+                np.sqrt(((rows[r[at : at + 65536]] - questions[c[at : at + 65536]]) ** 2).sum(1))
+                for at in range(0, len(r), 65536)
+            ]
+        )
+        found, back = np.unique(r, return_inverse=True)
+        best.add(columns[c], -_rounded(exact, digits), ids_at(found)[back])
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     """Ids as a sortable array: numbers, or UTF-8 bytes (whose order is the
     order of the strings in Spark)."""
@@ -155,7 +180,9 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.array(column.cast(pa.binary()).to_pylist(), dtype=bytes)
 
 
-def _scan(vectors: DataFrame, questions: Slice, k: int, metric: str, prepare=None) -> DataFrame:
+def _scan(
+    vectors: DataFrame, questions: Slice, k: int, metric: str, prepare=None, digits: int | None = None
+) -> DataFrame:
     """Best ``k`` per question and task. ``vectors``: ``chunk_id, embedding``
     (and what ``prepare`` needs). ``prepare(batch)`` may turn a batch into its
     matrix and a list of (row indices, question indices) blocks to score."""
@@ -185,8 +212,12 @@ def _scan(vectors: DataFrame, questions: Slice, k: int, metric: str, prepare=Non
                 step = max(1, _BLOCK_CELLS // len(columns))
                 for lo in range(0, len(at), step):
                     part = at[lo : lo + step]
+                    ids_at = lambda r: _ids(column.take(pa.array(part[r])))
+                    if metric == "l2":
+                        _offer_near(best, rows[part], matrix[columns], ids_at, columns, digits)
+                        continue
                     scores = _block_scores(rows[part], matrix[columns], metric)
-                    _offer(best, scores, lambda r: _ids(column.take(pa.array(part[r]))), columns)
+                    _offer(best, _rounded(scores, digits), ids_at, columns)
         kept = best.cut()
         if kept is not None:
             q, s, names = kept
@@ -222,8 +253,10 @@ def top_k(
     k: int = DEFAULT_K,
     metric: str = "cosine",
     where: str | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Exact search: ``query_id, chunk_id, score, rank``.
+    """Exact search: ``query_id, chunk_id, score, rank``. With ``digits``, scores are
+    rounded to so many places before they are ranked.
 
     ``chunks`` has ``chunk_id`` (unique per row), ``embedding`` and any columns used by ``where``, a
     SQL condition over the metadata applied before scoring (it reaches the
@@ -233,7 +266,7 @@ def top_k(
         raise ValueError(f"unknown metric {metric!r}; use one of {sorted(METRICS)}")
     kept = chunks.where(F.expr(where)) if where else chunks
     vectors = kept.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
-    parts = [_scan(vectors, s, k, metric) for s in question_slices(questions)]
+    parts = [_scan(vectors, s, k, metric, digits=digits) for s in question_slices(questions)]
     if not parts:
         return no_hits(chunks, questions)
     return rank_hits(reduce(DataFrame.unionByName, parts), k, metric)
@@ -253,11 +286,15 @@ def top_k_prefiltered(
     k: int = DEFAULT_K,
     metric: str = "cosine",
     where: str = DEFAULT_FILTER,
+    digits: int | None = None,
 ) -> DataFrame:
     """Filter, then exactly ``k`` per question (if that many are left). A
     missing heading counts as an empty one and passes the default filter."""
+    if where == DEFAULT_FILTER:
+        # said without a function around the column, it reaches the Parquet scan
+        return top_k(chunks, questions, k, metric, f"headings IS NULL OR {where}", digits)
     known = chunks.withColumn("headings", F.coalesce("headings", F.lit("")))
-    return top_k(known, questions, k, metric, where)
+    return top_k(known, questions, k, metric, where, digits)
 
 
 def excluded_headings(setting: str = DEFAULT_EXCLUDED) -> list[str]:
@@ -272,14 +309,16 @@ def top_k_postfiltered(
     metric: str = "cosine",
     excluded: Sequence[str] | None = None,
     config: str | None = None,
+    candidates: int | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Over-fetch ``min(2k, 100)`` candidates, drop those with an excluded
+    """Over-fetch ``candidates`` (``2 * k`` by default, ``k`` at least), drop those with an excluded
     heading or of another config, keep up to ``k``. May return fewer than
     ``k``: that is this search's contract; ``top_k_prefiltered`` is the one
     that fills up."""
     excluded = excluded_headings() if excluded is None else list(excluded)
-    fetch = min(2 * k, MAX_CANDIDATES)
-    found = top_k(chunks, questions, fetch, metric)
+    fetch = max(k, 2 * k if candidates is None else candidates)
+    found = top_k(chunks, questions, fetch, metric, digits=digits)
     meta = attach(
         found, chunks, ["headings", "pipeline_config_hash"], questions.count() * fetch
     )
@@ -353,7 +392,13 @@ def cite_hits(hits: DataFrame) -> DataFrame:
 
 
 def rescore(
-    candidates: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, metric: str, max_rows: int
+    candidates: DataFrame,
+    chunks: DataFrame,
+    questions: DataFrame,
+    k: int,
+    metric: str,
+    max_rows: int,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exact scores for candidate pairs, then the best ``k`` per question.
     There are at most ``max_rows`` candidates."""
@@ -363,5 +408,5 @@ def rescore(
     ).withColumnRenamed("embedding", "_a")
     exact = pairs.join(
         questions.select("query_id", F.col("embedding").alias("_b")), "query_id"
-    ).select("query_id", "chunk_id", similarity(F.col("_a"), F.col("_b"), metric).alias("score"))
+    ).select("query_id", "chunk_id", similarity(F.col("_a"), F.col("_b"), metric, digits).alias("score"))
     return rank_hits(exact, k, metric)

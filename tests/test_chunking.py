@@ -41,36 +41,19 @@ def test_golden_packing(spark):
     assert got[0][0] == words(3) + "\n\n" + words(4)
 
 
-def expected_chunks(text, cap, special=0):
-    """Straight restatement of the packing rules, for comparison."""
-    count = lambda s: len(s.split()) + special
-    out, stage, total = [], [], 0
-
-    def flush(joiner):
-        nonlocal stage, total
-        if stage:
-            out.append(joiner.join(stage))
-        stage, total = [], 0
-
-    for para in (p.strip() for p in re.split(r"\n\n+", text)):
-        if not para:
+def units(text, cap, special=0):
+    """Paragraphs, or sentences of those above the cap, as (run, joiner, text, size).
+    Units may share a chunk only inside one run."""
+    found, run = [], 0
+    for para in filter(None, (p.strip() for p in re.split(r"\n\n+", text))):
+        size = len(para.split()) + special
+        if size <= cap:
+            found.append((run, "\n\n", para, size))
             continue
-        if count(para) > cap:
-            flush("\n\n")
-            for s in (s.strip() for s in re.split(r"(?<=[.!?])\s+", para)):
-                if s:
-                    if total + count(s) > cap:
-                        flush(" ")
-                    stage.append(s)
-                    total += count(s)
-            flush(" ")
-        else:
-            if total + count(para) > cap:
-                flush("\n\n")
-            stage.append(para)
-            total += count(para)
-    flush("\n\n")
-    return out
+        parts = filter(None, (s.strip() for s in re.split(r"(?<=[.!?])\s+", para)))
+        found += [(run + 1, " ", s, len(s.split()) + special) for s in parts]
+        run += 2
+    return found
 
 
 def random_text(rng):
@@ -82,11 +65,20 @@ def random_text(rng):
 
 
 @pytest.mark.parametrize("special", [0, 2])
-def test_packing_equals_restatement(spark, special):
+def test_chunks_are_whole_runs_as_full_as_they_can_be(spark, special):
     rng = random.Random(special)
     texts = [random_text(rng) for _ in range(300)]
-    got = pack(spark, texts, cap=10, counter=tx.word_counter(special))
-    assert got == [expected_chunks(t, 10, special) for t in texts]
+    for text, chunks in zip(texts, pack(spark, texts, cap=10, counter=tx.word_counter(special))):
+        left = units(text, 10, special)
+        for chunk in chunks:
+            run, joiner = left[0][:2]
+            n = next(n for n in range(1, len(left) + 1) if joiner.join(u[2] for u in left[:n]) == chunk)
+            own, left = left[:n], left[n:]
+            total = sum(u[3] for u in own)
+            assert {u[0] for u in own} == {run}
+            assert total <= 10 or n == 1
+            assert not left or left[0][0] != run or total + left[0][3] > 10
+        assert not left
 
 
 def test_model_counter_gives_the_same(spark):

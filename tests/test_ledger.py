@@ -96,6 +96,8 @@ def test_current_insert_and_lookup(spark):
     assert lg.entries(events).columns == lg.ENTRY_COLUMNS
     fresh, conflicts = lg.insert_new(live, table(spark, [("X", "1"), ("Y", "2")]))
     assert (pairs(fresh), pairs(conflicts)) == ([("Y", "2")], [("X", "1")])
+    fresh, conflicts = lg.insert_new(live, table(spark, [("Z", "2"), ("Y", "2")]))
+    assert (pairs(fresh), pairs(conflicts)) == ([("Y", "2")], [("Z", "2")])
     found = lg.lookup(table(spark, [("", "1"), ("", "7")]), live).collect()
     assert {(r.content_hash, r.filename) for r in found} == {("1", "B"), ("7", None)}
     assert pairs(lg.prune_events(live, "c", 9)) == [("D", "3")]

@@ -56,7 +56,7 @@ def found(hits):
 def test_top_k_equals_brute_force(spark, metric, k):
     chunks, data = vectors(spark, 300, 8, seed=1)
     qs = [data[i * 3].astype(float) for i in range(7)]
-    assert found(rt.top_k(chunks, questions_of(spark, data), k, metric)) == brute(data, qs, k, metric)
+    assert found(rt.top_k(chunks, questions_of(spark, data), k, metric, digits=6)) == brute(data, qs, k, metric)
 
 
 def test_question_slices_give_the_same(spark, monkeypatch):
@@ -98,10 +98,10 @@ def test_filters(spark):
     questions = questions_of(spark, data)
     qs = [data[i * 3].astype(float) for i in range(7)]
     # a missing heading passes the pre-filter, and it fills up to k
-    assert found(rt.top_k_prefiltered(chunks, questions)) == brute(data, qs, 10, "cosine", lambda i: i % 3)
+    assert found(rt.top_k_prefiltered(chunks, questions, digits=6)) == brute(data, qs, 10, "cosine", lambda i: i % 3)
     # the post-filter drops from the first 2k and does not fill up
     want = {q: [c for c in ids if int(c[1:]) % 3][:10] for q, ids in brute(data, qs, 20, "cosine").items()}
-    assert found(rt.top_k_postfiltered(chunks, questions, config="c")) == want
+    assert found(rt.top_k_postfiltered(chunks, questions, config="c", digits=6)) == want
     assert found(rt.top_k_postfiltered(chunks, questions, config="other")) == {}
 
 
@@ -305,3 +305,35 @@ def test_ask(spark):
 
     got = ask_plan.ask(chunks, questions_of(spark, data, 3), make, k=4).collect()
     assert sorted(r.answer for r in got) == ["4 q0", "4 q1", "4 q2"]
+
+
+def test_near_ties_rank_by_full_scores(spark):
+    rows = [("a", [1.0, 0.0006]), ("b", [1.0, 0.0]), ("c", [1.0, 1e-9])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
+    question = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id int, embedding array<double>")
+    for metric in ("cosine", "l2"):
+        assert found(rt.top_k(chunks, question, 3, metric))[1][0] == "b"
+    assert set(found(rt.top_k(chunks, question))) == {1}
+    assert rt.top_k(chunks, question.where("query_id = 2")).collect() == []
+
+
+def test_distances_of_long_vectors_are_exact(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(1000, 1, 64)
+    data = [base + rng.normal(0, 1e-5, 64) for _ in range(60)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", x.tolist()) for i, x in enumerate(data)], "chunk_id string, embedding array<double>")
+    question = spark.createDataFrame([(1, data[7].tolist())], "query_id int, embedding array<double>")
+    hits = rt.top_k(chunks, question, 5, "l2").orderBy("rank").collect()
+    want = np.sqrt(((np.array(data) - data[7]) ** 2).sum(1))
+    assert [r.chunk_id for r in hits] == [f"c{i:03d}" for i in np.argsort(want)[:5]]
+    assert hits[0].score == 0.0
+
+
+def test_many_candidates_and_pushed_default_filter(spark, tmp_path):
+    chunks, data = vectors(spark, 300, 4, seed=9)
+    hits = rt.top_k_postfiltered(chunks, questions_of(spark, data, 2), k=150, candidates=300)
+    assert hits.count() == 2 * 150
+    chunks.write.parquet(str(tmp_path / "c"))
+    plan = rt.top_k_prefiltered(spark.read.parquet(str(tmp_path / "c")), questions_of(spark, data, 2))
+    text = plan._jdf.queryExecution().toString()
+    assert "Not(EqualTo(headings,Contents))" in text
