@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.scratch import small_batches
+
 # Entries of each memory of a Python worker; a full one starts anew.
 REMEMBERED = 500_000
 # Bytes of a piece up to which its prefixes are remembered beyond it.
@@ -274,6 +276,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     match of ``pattern``, one after the other, without special tokens. A null
     text counts as empty and has no tokens. Ids may be null or repeated, other
     columns are ignored, an empty table gives an empty table."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(_encode(path, pattern), "doc_id long, ids array<int>")
 
@@ -287,6 +290,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             data = [v.decode(x.as_py() or []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
+    small_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
@@ -308,6 +312,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -340,6 +345,7 @@ def revise(edits: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "ids", "n_remade"],
             )
 
+    small_batches(edits.sparkSession)
     rows = edits.select(
         F.col("doc_id").cast("long"), "text", F.col("start").cast("int"), F.col("stop").cast("int"), "new_text"
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.scratch import Scratch, small
+from llm.scratch import Scratch, small, small_batches
 from llm.words import LOWER, cuts, text_bytes
 
 # Rows the classifier is fitted on and landmarks among them, over all languages.
@@ -175,6 +175,7 @@ def identify(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFra
     never looked at; with ``carry`` the whole input row comes along as ``row``. An
     empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     doc_id = F.col("doc_id").cast("long")
     row = F.struct(*(docs[c] for c in docs.columns)) if carry else F.struct("text")
