@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from llm.scratch import small_batches
 
 # Entries of each memory of a Python worker; a full one starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 # Bytes of a piece up to which its prefixes are remembered beyond it.
 SHORT = 64
 
