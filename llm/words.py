@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text handled at once; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15)
