@@ -93,9 +93,22 @@ class Swap(NamedTuple):
 
 
 def latest_files(incoming: DataFrame) -> DataFrame:
-    """The last arrival of every filename (``seq`` decides, then the hash)."""
-    return _first(
-        incoming, ["filename", "pipeline_config_hash"], F.desc("seq"), F.col("content_hash")
+    """The last arrival of every filename (``seq`` decides, then the path where
+    there is one, then the hash)."""
+    path = [F.desc("source_path")] if "source_path" in incoming.columns else []
+    order = [F.desc("seq"), *path, F.col("content_hash")]
+    return _first(incoming, ["filename", "pipeline_config_hash"], *order)
+
+
+def replaced_files(incoming: DataFrame) -> DataFrame:
+    """Arrivals whose filename arrives later in the same batch with other content."""
+    name = ["filename", "pipeline_config_hash"]
+    last = latest_files(incoming).select(*name, F.col("content_hash").alias("_last"))
+    return (
+        incoming.join(last, name)
+        .where(F.col("content_hash") != F.col("_last"))
+        .select(incoming.columns)
+        .distinct()
     )
 
 

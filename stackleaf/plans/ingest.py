@@ -44,10 +44,17 @@ class Ingest:
         """Process ``files`` (``path, content`` and, optionally, ``seq`` for
         the order of arrival). Safe to run again with the same ``batch_id``.
         Returns the report: ``filename, content_hash, chunk_count`` of the
-        documents this batch registered."""
+        documents this batch registered.
+
+        Without ``seq`` files arrive in the order of ``modificationTime``, where
+        there is one, then of their paths. Of files with one name the last that
+        can be parsed counts; the others are rejects, as are files whose
+        content changes between hashing and parsing."""
         config = self.settings.fingerprint()
         if "seq" not in files.columns:
-            files = files.withColumn("seq", F.lit(0).cast("bigint"))
+            timed = "modificationTime" in files.columns
+            order = F.unix_micros("modificationTime") if timed else F.lit(0).cast("bigint")
+            files = files.withColumn("seq", order)
         corpus.write_arrivals(
             files.select(
                 F.col("path").alias("source_path"),
@@ -63,7 +70,8 @@ class Ingest:
         arrivals = everything.where("routed").drop("routed")
         live = corpus.live_near(arrivals, config, batch_id)
         pick = ["source_path", "content_hash"]
-        wanted = lg.swap(live, arrivals).registered.select(*pick)
+        replaced = lg.replaced_files(arrivals).select(*pick)
+        wanted = lg.swap(live, arrivals).registered.select(*pick).unionByName(replaced)
         corpus.write_wanted(
             wanted.unionByName(everything.where("NOT routed").select(*pick)), batch_id
         )
@@ -81,13 +89,25 @@ class Ingest:
         parsed = corpus.parsed().where(F.col("batch_id") == batch_id)
         good = parsed.where(F.col("reason").isNull())
         failed = parsed.where("reason IS NOT NULL AND parser IS NOT NULL").select(*pick)
-        if failed.isEmpty():
+        # wanted under a hash that the second reading did not find
+        changed = corpus.wanted(batch_id).join(parsed.select(*pick), pick, "left_anti")
+        bad = failed.unionByName(changed)
+        if bad.unionByName(replaced).isEmpty():
             change = lg.swap(live, arrivals)
         else:
             # a version that cannot be read replaces nothing, so its old
             # version stays, and with it any copy of that in this batch is
             # known after all; such copies are few
-            change = lg.swap(live, arrivals.join(failed, pick, "left_anti"))
+            readable = arrivals.join(bad, pick, "left_anti")
+            change = lg.swap(live, readable)
+            why = F.lit("replaced in the same batch")
+            refused = lg.replaced_files(readable).select(*pick, why.alias("reason"))
+            corpus.write_refused(
+                refused.unionByName(
+                    changed.select(*pick, F.lit("changed while it was read").alias("reason"))
+                ),
+                batch_id,
+            )
             surplus = good.select(*pick).join(
                 change.registered.select(*pick), pick, "left_anti"
             )

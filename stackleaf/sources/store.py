@@ -1,7 +1,7 @@
 """The corpus on disk: plain Parquet folders, written and read by Spark.
 
-``arrivals/``, ``wanted/``, ``parsed/``, ``chunks/`` and ``ledger/`` are partitioned by batch (chunks by
-config hash first). A batch that runs again overwrites its own partitions only,
+``arrivals/``, ``wanted/``, ``parsed/``, ``refused/``, ``chunks/`` and ``ledger/`` are partitioned by batch
+(chunks by config hash first). A batch that runs again overwrites its own partitions only,
 so a replay leaves the same rows. Chunks are written before the ledger; readers
 keep the chunks whose document version is live, so one append to the ledger
 switches all documents of the batch from the old version to the new.
@@ -32,6 +32,7 @@ PARSED_SCHEMA = (
     f"parser string, markdown string, blocks {BLOCKS}, doc_key string, reason string, "
     "batch_id bigint"
 )
+REFUSED_SCHEMA = "source_path string, content_hash string, reason string, batch_id bigint"
 CHUNK_SCHEMA = (
     "content_hash string, chunk_id string, chunk_index int, total_chunks int, filename string, "
     "text string, enriched_text string, headings string, parent_headings string, "
@@ -61,6 +62,7 @@ class Corpus:
             ("arrivals", ARRIVAL_SCHEMA, ["batch_id"]),
             ("wanted", WANTED_SCHEMA, ["batch_id"]),
             ("parsed", PARSED_SCHEMA, ["batch_id"]),
+            ("refused", REFUSED_SCHEMA, ["batch_id"]),
             ("chunks", CHUNK_SCHEMA, ["pipeline_config_hash", "batch_id"]),
         ):
             empty = self.spark.createDataFrame([], schema)
@@ -88,6 +90,9 @@ class Corpus:
     def write_parsed(self, parsed: DataFrame, batch_id: int) -> None:
         self._replace_parts(parsed.withColumn("batch_id", F.lit(batch_id)), "parsed", ["batch_id"])
 
+    def write_refused(self, refused: DataFrame, batch_id: int) -> None:
+        self._replace_parts(refused.withColumn("batch_id", F.lit(batch_id)), "refused", ["batch_id"])
+
     def write_chunks(self, chunks: DataFrame, batch_id: int) -> None:
         self._replace_parts(
             chunks.withColumn("batch_id", F.lit(batch_id)),
@@ -145,8 +150,13 @@ class Corpus:
         return self.spark.read.schema(PARSED_SCHEMA).parquet(self._path("parsed"))
 
     def rejects(self) -> DataFrame:
+        """Files that could not be parsed, and files that were but did not get
+        into the ledger, with the reason."""
+        refused = self.spark.read.schema(REFUSED_SCHEMA).parquet(self._path("refused"))
         return self.parsed().where(F.col("reason").isNotNull()).select(
             "source_path", "content_hash", F.lit("parse").alias("stage"), "reason"
+        ).unionByName(
+            refused.select("source_path", "content_hash", F.lit("version").alias("stage"), "reason")
         )
 
     def all_chunks(self) -> DataFrame:

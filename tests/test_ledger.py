@@ -173,6 +173,21 @@ def test_ingest_copy_and_move_in_one_batch(spark, tmp_path):
     assert searchable(corpus, ingest) == [("a.txt", "two"), ("b.txt", "one")]
 
 
+def test_same_names_in_one_batch(spark, tmp_path):
+    def two(a, b):
+        rows = [("/in/a/r.txt", bytearray(a)), ("/in/b/r.txt", bytearray(b))]
+        return spark.createDataFrame(rows, "path string, content binary")
+
+    ingest, corpus = plain(), Corpus(spark, str(tmp_path / "c")).create()
+    ingest.run(corpus, two(b"one", b"two"), 1)
+    assert searchable(corpus, ingest) == [("r.txt", "two")]
+    reasons = {r.source_path: r.reason for r in corpus.rejects().collect()}
+    assert reasons == {"/in/a/r.txt": "replaced in the same batch"}
+    # the last cannot be read, so the one before it counts
+    ingest.run(corpus, two(b"three", b"\xff"), 2)
+    assert searchable(corpus, ingest) == [("r.txt", "three")]
+
+
 def test_empty_document_is_registered(spark, tmp_path):
     ingest, corpus = plain(), Corpus(spark, str(tmp_path / "c")).create()
     report = ingest.run(corpus, files(spark, e__txt=b""), 1).collect()
