@@ -229,13 +229,20 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()),
+            [batch.column("row"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()),
              pa.array(items, pa.list_(pa.string())), pa.array(digests, pa.string()), pa.array(spans, pa.list_(span)),
              pa.array([n > 0 for n in hits], pa.bool_())],
             names=["row", "n_words", "n_hit", "n_items", "items", "items_sha256", "spans", "contaminated"],
         )
 
 
+def _find_settled(windows: Windows, prefix: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """Both steps in one Python worker, for windows that fit in one block. A second
+    worker beside it would stay in the executor's pool, with all it remembers."""
+    find = _find(windows, prefix)
+    return lambda batches: _settle(find(batches))
+
+
 def find_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -265,6 +272,11 @@ def find_benchmark(
         F.struct(*columns).alias("row"), F.xxhash64(text).alias("c"), F.xxhash64(F.lit(1), text).alias("d")
     )
     row = f"row {rows.schema['row'].dataType.simpleString()}"
+
+    def result(settled: DataFrame) -> DataFrame:
+        settled = settled.select(F.col("row")["doc_id"].cast("long").alias("doc_id"), "*")
+        return settled if carry else settled.drop("row")
+
     found = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(_windows(window), "item string, words binary")
     found = scratch.save(found.groupBy("words").agg(F.collect_set("item").alias("items")))
     parts = max(1, -(-found.count() // block_windows))
@@ -275,15 +287,15 @@ def find_benchmark(
         sieve = Sieve(np.unique(windows.shingles()[0]))
         counts = docs.select("text").mapInArrow(_shingle_counts(sieve, windows.sizes()), "shingle long, n long")
         prefix = _prefixes(windows, counts.groupBy("shingle").agg(F.sum("n").alias("n")).toArrow())
+        if parts == 1:
+            return result(rows.mapInArrow(_find_settled(windows, prefix), f"{row}, {_RESULT}"))
         one = rows.mapInArrow(_find(windows, prefix), f"{row}, {_FOUND}")
         looked = one if looked is None else looked.unionByName(one)
-    if parts > 1:
-        gathered = looked.groupBy("row", "c", "d", "n_words").agg(
-            *(F.flatten(F.collect_list(x)).alias(x) for x in ("starts", "ends")),
-            F.flatten(F.collect_set("items")).alias("items"),
-            (F.count("*") / parts).alias("rows"),
-        )
-        looked = gathered.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    found = looked.select("row", "n_words", "starts", "ends", "items").mapInArrow(_settle, f"{row}, {_RESULT}")
-    found = found.select(F.col("row")["doc_id"].cast("long").alias("doc_id"), "*")
-    return found if carry else found.drop("row")
+    gathered = looked.groupBy("row", "c", "d", "n_words").agg(
+        *(F.flatten(F.collect_list(x)).alias(x) for x in ("starts", "ends")),
+        F.flatten(F.collect_set("items")).alias("items"),
+        (F.count("*") / parts).alias("rows"),
+    )
+    looked = gathered.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    looked = looked.select("row", "n_words", "starts", "ends", "items")
+    return result(looked.mapInArrow(_settle, f"{row}, {_RESULT}"))
