@@ -163,9 +163,8 @@ def _agree(threshold: float):
 
 
 def _likely(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one shared band whose signatures agree;
-    a pair that shares several bands comes from the first of them only."""
-    number = rows["number"][0].as_py()
+    """Pairs of different components in one shared band whose signatures agree. A pair
+    comes from every band it shares: bytes can't tell which of them is the first."""
     low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
     tile, node, component = (rows[c].to_numpy() for c in ("tile", "node", "component"))
     signs = _bytes_of(rows["checks"].combine_chunks())
@@ -181,8 +180,7 @@ def _likely(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         for part in range(0, len(i), 4096):
             a, b = some[i[part : part + 4096]], twos[j[part : part + 4096]]
             same = signs[a] == signs[b]
-            bands = same.reshape(len(a), -1, BAND_ROWS).all(axis=2)
-            keep = (_similarity(same.mean(axis=1)) >= threshold - SLACK) & (bands.argmax(axis=1) == number)
+            keep = _similarity(same.mean(axis=1)) >= threshold - SLACK
             found_a.append(np.minimum(node[a], node[b])[keep])
             found_b.append(np.maximum(node[a], node[b])[keep])
     empty = np.zeros(0, dtype=np.int64)
@@ -257,7 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         classes.select("f1", "f2", "n_shingles", F.col("node").alias("doc_id")), ["f1", "f2", "n_shingles", "doc_id"]
     ).select(F.col("doc_id").alias("node"), "checks", "bands")
     firsts = scratch.save(firsts.dropDuplicates(["node", "checks"]))
-    bands = firsts.select("node", F.posexplode("bands").alias("number", "band"))
+    bands = firsts.select("node", F.explode("bands").alias("band"))
     shared = scratch.save(
         bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
         .select("band", "leader")
@@ -282,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = scratch.save(components(links, scratch))
 
     placed = members.join(found, "node", "left").select(
-        "band", "number", "node", F.coalesce("component", "node").alias("component")
+        "band", "node", F.coalesce("component", "node").alias("component")
     )
     # bands that still hold several components
     split = placed.groupBy("band").agg(
@@ -293,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
     tiled = tiled.select("*", other).select(
         "band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-        "number", "tile", "node", "component", "checks",
+        "tile", "node", "component", "checks",
     )
     tiled = tiled.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
     across = scratch.save(

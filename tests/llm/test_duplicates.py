@@ -60,6 +60,18 @@ def test_near_duplicates_of_a_hot_group_and_small_tiles(frame, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_a_pair_is_likely_in_a_later_band_than_bytes_suggest():
+    """All bytes of the first band agree by chance; the rows meet in the fourth only."""
+    signs = np.random.default_rng(6).integers(0, 256, (2, near_dups.SIGNATURE), dtype=np.uint8)
+    signs[1, : near_dups.SIGNATURE * 4 // 5] = signs[0, : near_dups.SIGNATURE * 4 // 5]
+    for band in (1, 2, *range(4, near_dups.SIGNATURE // near_dups.BAND_ROWS)):
+        signs[1, band * near_dups.BAND_ROWS] = signs[0, band * near_dups.BAND_ROWS] + 1
+    rows = {"band": [9, 9], "low": [0, 0], "high": [0, 0], "number": [3, 3], "tile": [0, 0], "node": [5, 4], "component": [5, 4]}
+    batch = pa.RecordBatch.from_pydict(rows | {"checks": [x.tobytes() for x in signs]})
+    found = [tuple(x.values()) for b in near_dups._across(0.7)(iter([batch])) for x in b.to_pylist()]
+    assert found == [(4, 5)]
+
+
 def test_empty_tables(empty):
     assert near_dups.near_duplicates(empty).collect() == []
     assert substrings.remove_repeats(empty).collect() == []
