@@ -1,8 +1,8 @@
 """Licence recognition by sentence rules.
 
-Texts are cut into sentences, sentences normalised and looked up among known
-licence sentences. What remains of a text is a row of sentence identifiers;
-licence rules are ordered rows of identifiers that must follow each other in it.
+Known licence sentences are looked for between the cuts of a normalised text.
+What remains of a text is a row of sentence identifiers; licence rules are
+ordered rows of identifiers that must follow each other in it.
 
 Only built-in functions, row by row: nothing is shuffled, and a text of any
 number of sentences stays one row.
@@ -25,6 +25,8 @@ SENTENCES = {
     "apache-header": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "apache-use": "you may not use this file except in compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at",
+    "apache-terms": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "apache-details": "See the License for the specific language governing permissions and limitations under the License.",
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
@@ -34,6 +36,8 @@ SENTENCES = {
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-notice": "Licensed under CC BY 4.0.",
     "as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND.",
+    "as-is-full": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "no-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 }
 
 # Rules in order of preference. Identifiers must follow each other
@@ -53,20 +57,34 @@ RULES = [
 ]
 
 
-_CUT = "\x01"
+# A sentence begins and ends at cuts. It has no cut inside, but may have places where
+# another sentence could begin: whether a line was wrapped there only the sentence tells.
+_CUT, _MAYBE = "\x01", "\x02"
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text: they end behind ``.``, ``!`` or ``?`` and a blank, at an
-    empty line, and at a line end before a capital. Other line ends are blanks."""
-    cut = F.regexp_replace(text, r"([.!?])[ \t\r\n]+", f"$1{_CUT}")
+def marked(text: Column) -> Column:
+    """The normalised text between cuts: lower case, each run of characters other than
+    letters and digits one space. Cuts are behind ``.``, ``!`` or ``?`` and a blank and at
+    an empty line; possible ones behind ``;`` and a blank, and at a line end before a
+    capital or what marks a comment. Other line ends are blanks."""
+    cut = F.translate(text, _MAYBE, " ")
+    cut = F.regexp_replace(cut, r"([.!?])[ \t\r\n]+", f"$1{_CUT}")
     cut = F.regexp_replace(cut, r"\n[ \t\r]*\n", _CUT)
-    return F.split(F.regexp_replace(cut, r"\n(\p{Lu})", f"{_CUT}$1"), _CUT)
+    cut = F.regexp_replace(cut, r"\n(?=[ \t]*(?:[#*/;%-]+[ \t]*)?\p{Lu})|;[ \t\r\n]+", _MAYBE)
+    cut = F.concat(F.lit(_CUT), cut, F.lit(_CUT))
+    return F.regexp_replace(F.lower(cut), rf"[^\p{{L}}\p{{N}}{_CUT}{_MAYBE}]+", " ")
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; each run of characters other than letters and digits is one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def known_sentences(text: Column, known: dict[str, str]) -> Column:
+    """The identifiers of the known sentences of a text, in its order."""
+    name_of = {normal_form(sentence): name for name, sentence in known.items()}
+    # of sentences that begin alike the longest is looked for first
+    forms = sorted(name_of, key=lambda x: (-len(x), x))
+    any_of = "|".join(x.replace(" ", f"[ {_MAYBE}]+") for x in forms)
+    edge = f"[{_CUT}{_MAYBE}]"
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<={edge}) ?({any_of}) ?(?={edge})"), 1)
+    names = F.create_map(*(F.lit(x) for pair in name_of.items() for x in pair))
+    return F.transform(found, lambda s: F.try_element_at(names, F.regexp_replace(s, f"[ {_MAYBE}]+", " ")))
 
 
 def normal_form(sentence: str) -> str:
@@ -90,10 +108,7 @@ def scan_licenses(
     own. Other columns are ignored; an empty table gives an empty table.
     """
     known, rules = known or SENTENCES, rules or RULES
-    entries = [F.lit(x) for name, text in known.items() for x in (normal_form(text), name)]
-    name_of = F.create_map(*entries)
-    ids = F.transform(sentences(F.col("text")), lambda s: F.try_element_at(name_of, normalised(s)))
-    found = docs.select(F.col("doc_id").cast("long"), F.filter(ids, lambda x: x.isNotNull()).alias("ids"))
+    found = docs.select(F.col("doc_id").cast("long"), known_sentences(F.col("text"), known).alias("ids"))
     # the arrays are small from here on
     found = found.where(F.size("ids") > 0)
     row = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))

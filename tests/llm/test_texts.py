@@ -157,6 +157,54 @@ def test_licences(frame, empty):
     assert licenses.scan_licenses(empty).collect() == []
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_licence_headers_as_they_are_wrapped(frame):
+    commented = "# Copyright 2020 X\n#\n" + "\n".join(f"# {line}".rstrip() for line in GPL.split("\n"))
+    texts = [
+        (1, APACHE), (2, GPL), (3, MIT_END), (4, commented), (5, "x\r\n\r\n" + APACHE.replace("\n", "\r\n")),
+        (6, " ".join(APACHE.split())), (7, APACHE.replace("License, Version", "License,\nVersion")),
+        (8, "Not licensed under CC BY 4.0."), (9, "it is\nlicensed under CC BY 4.0."), (10, "It is\nLicensed under CC BY 4.0"),
+        (11, "Licensed under the\n\nApache License, Version 2.0."),
+    ]
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan_licenses(frame(texts)).collect()}
+    # the address stands between a sentence and an empty line, so only where that is one is apache-copy found
+    apache = ("apache-header,apache-use,apache-copy,apache-terms,apache-details", "Apache-header", "Apache-2.0")
+    gpl = ("gpl-free,gpl-hope,gpl-details", "GPL-header", "GPL-3.0-or-later")
+    assert got == {
+        1: apache, 2: gpl, 3: ("as-is-full,no-liability", "", ""), 4: gpl, 5: apache,
+        6: ("apache-header,apache-use,apache-details", "Apache-header", "Apache-2.0"), 7: apache,
+        10: ("cc-by-notice", "CC-BY-notice", "CC-BY-4.0"),
+    }
+
+
 PARTS = st.lists(st.one_of(st.sampled_from([*chat.CONTROL, "\\", "\n", "l", "b", "n"]), st.text(max_size=5)), max_size=8).map("".join)
 
 
