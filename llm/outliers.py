@@ -29,7 +29,7 @@ from llm.words import BLANK_SEPARATED, blocks, window_hashes, window_starts
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated three-word windows
 SHARE = 0.75  # of the rows of a group that the estimate rests on
-MIN_ROWS = 200  # a smaller group is judged together with others
+MIN_ROWS = 50  # a smaller group is judged by a larger estimate
 TAIL = 1e-9  # of regular rows of a normal group beyond the cut
 MAX_STEPS = 20
 BINS_PER_OCTAVE = 64
@@ -200,19 +200,23 @@ def robust_estimates(rows: DataFrame, scratch: Scratch, share: float = SHARE) ->
 
 
 def _grouped(rows: DataFrame, scratch: Scratch, least: int) -> DataFrame:
-    """Adds the group ``g``: language and source; rows of small groups go together by
-    language, and what still is small goes together. None if that is small too."""
-    names = F.struct("lang", "source")
-    rows = rows.withColumn("own", F.to_json(names)).withColumn("pool", F.to_json(F.struct("lang")))
-    sizes = scratch.save(rows.where("not base_failed").groupBy("own", "pool").agg(F.count("*").alias("n")))
-    pools = scratch.save(sizes.where(F.col("n") < least).groupBy("pool").agg(F.sum("n").alias("m")))
-    rest = pools.where(F.col("m") < least).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
-    last = F.lit("rest") if rest >= least else F.lit(None).cast("string")
-    to = sizes.join(pools, "pool", "left").select(
-        "own",
-        F.when(F.col("n") >= least, F.col("own")).when(F.col("m") >= least, F.col("pool")).otherwise(last).alias("g"),
-    )
-    return rows.join(small(scratch.save(to), 200), "own", "left").drop("own", "pool")
+    """Adds ``g``, the group by which a row is judged, and ``into``, the groups whose
+    estimates it enters. Groups are language and source, all of a language, and all rows;
+    a row is judged by the first of them that has ``least`` rows, if any has."""
+    named = lambda kind, *names: F.concat(F.lit(kind), F.to_json(F.struct(*names)))
+    rows = rows.withColumn("own", named("own", "lang", "source")).withColumn("pool", named("pool", "lang"))
+    passed = F.sum(F.when(F.col("base_failed"), 0).otherwise(1))
+    sizes = scratch.save(rows.groupBy("own", "pool").agg(passed.alias("n")))
+    pools = scratch.save(sizes.groupBy("pool").agg(F.sum("n").alias("m")))
+    total = pools.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
+    last = F.lit("all") if total >= least else F.lit(None).cast("string")
+    g = F.when(F.col("n") >= least, F.col("own")).when(F.col("m") >= least, F.col("pool")).otherwise(last)
+    to = scratch.save(sizes.join(pools, "pool").select("own", "pool", g.alias("g")))
+    used = to.where("g = pool").select("pool").distinct().withColumn("used", F.lit(True))
+    whole = F.lit("all" if to.where("g = 'all'").limit(1).count() else None).cast("string")
+    groups = F.array(F.when(F.col("g") == F.col("own"), F.col("own")), F.when(F.col("used"), F.col("pool")), whole)
+    to = to.join(used, "pool", "left").select("own", "g", F.array_compact(groups).alias("into"))
+    return rows.join(small(scratch.save(to), 400), "own", "left").drop("own", "pool")
 
 
 def judge(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int = MIN_ROWS) -> DataFrame:
@@ -224,8 +228,9 @@ def judge(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int
     windows found twice or more. ``distance`` is the squared Mahalanobis distance
     from the robust centre of the row's language and source, estimated on rows
     that pass; rows beyond the chi-square cut for ``tail`` aren't ``kept``.
-    Groups under ``least`` rows are judged together, by language or as a whole;
-    where even all of them are too few, ``distance`` is null and rows are kept.
+    Groups under ``least`` rows are judged by the estimate of all rows of their
+    language, or of the whole table if those are too few as well; where even that
+    has fewer rows, ``distance`` is null and rows are kept.
 
     A null text has no words. Null languages and sources are values of their
     own; ids may be null or repeated. Other columns are ignored; an empty table
@@ -235,7 +240,8 @@ def judge(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = scratch.save(statistics(docs).select("*", base_failed.alias("base_failed"), *vector()))
     rows = scratch.save(_grouped(rows, scratch, least))
-    found = robust_estimates(rows.where("not base_failed and g is not null").select("g", *VECTOR), scratch, share)
+    entered = rows.where("not base_failed").select(F.explode("into").alias("g"), *VECTOR)
+    found = robust_estimates(entered, scratch, share)
     judged = rows.join(small(found, 200), "g", "left")
     distance = F.when(F.col("c0").isNotNull(), _distance())
     far = F.coalesce(distance > chi_square_cut(1 - tail, _SIZE), F.lit(False))

@@ -274,6 +274,21 @@ def test_outliers(frame, corpus, empty, spark):
     assert outliers.judge(empty).collect() == []
 
 
+def test_outliers_of_small_groups(spark):
+    """Rows of a new source and of a rare language are judged by larger estimates."""
+    rng = np.random.default_rng(8)
+    words = ["abcdefgh"[: n + 1] + str(k) for n in range(8) for k in range(60)]
+    clean = lambda: " ".join(rng.choice(words, rng.integers(60, 200)))
+    odd = lambda: " ".join("#|$%" + w for w in rng.choice(words, 100))
+    rows = [(i, clean(), "en", "s0") for i in range(100)]
+    rows += [(200 + i, clean(), "en", None) for i in range(3)] + [(210, odd(), "en", None)]
+    rows += [(220 + i, clean(), "xx", "s0") for i in range(3)] + [(230, odd(), "xx", "s0"), (240, odd(), None, "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judge(docs).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {210, 230, 240}
+
+
 def test_chi_square():
     assert abs(outliers.chi_square_cut(0.95, 5) - 11.0705) < 1e-3
     assert abs(outliers.chi_square_below(2.0, 2) - (1 - np.exp(-1))) < 1e-12
