@@ -30,11 +30,13 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated three-word windows
 SHARE = 0.75  # of the rows of a group that the estimate rests on
 MIN_ROWS = 50  # a smaller group is judged by a larger estimate
-TAIL = 1e-9  # of regular rows of a normal group beyond the cut
+TAIL = 1e-4  # of regular rows of a normal group beyond the cut
 MAX_STEPS = 20
 BINS_PER_OCTAVE = 64
-# Smallest standard deviation of each statistic: differences below it don't matter.
-FLOORS = {"size": 0.5, "length": 0.05, "symbols": 0.045, "lines": 0.15, "repeats": 0.12}
+# Smallest standard deviation of each statistic, a lower bound in every direction of
+# the scatter. In a group without any, a tenth of words in repeats, a sixth of lines
+# or 1 % of characters that are symbols lie beyond the cut by themselves.
+FLOORS = {"size": 0.1, "length": 0.01, "symbols": 0.02, "lines": 0.08, "repeats": 0.06}
 VECTOR = list(FLOORS)
 _SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 
@@ -122,6 +124,31 @@ def chi_square_cut(share: float, freedom: int) -> float:
 
 
 _SIZE = len(VECTOR)
+
+
+def distance_cut(tail: float, n: float) -> float:
+    """The squared distance that a share ``tail`` of new rows of a normal group exceeds, its
+    centre and scatter estimated on ``n`` rows: a scaled F distribution, for many rows
+    the chi-square distribution."""
+    p, q = _SIZE, max(n - _SIZE, 1)
+    logs = np.linspace(-20, 20, 40001)  # of the F values
+    density = p / 2 * logs - (p + q) / 2 * np.log1p(p / q * np.exp(logs))
+    density = np.exp(density - density.max())
+    above = np.cumsum(density[::-1])[::-1]
+    at = np.searchsorted(-above, -tail * above[0])
+    return float(p * (n * n - 1) / (n * q) * np.exp(logs[min(at, len(logs) - 1)]))
+
+
+def _cuts(tail: float, share: float):
+    """``(g, cut)`` of each estimate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"g": rows["g"], "cut": [distance_cut(tail, share * float(n)) for n in rows["n"]]})
+
+    return run
+
+
 _PAIRS = [(i, j) for i in range(_SIZE) for j in range(i, _SIZE)]
 _ESTIMATE = ", ".join(
     ["g string", "n long", "det double", *(f"c{i} double" for i in range(_SIZE)), *(f"p{i}{j} double" for i, j in _PAIRS)]
@@ -129,9 +156,11 @@ _ESTIMATE = ", ".join(
 
 
 def _estimate_row(g: str, n: int, centre: np.ndarray, scatter: np.ndarray) -> dict:
-    scatter = scatter + np.diag(np.square(list(FLOORS.values())))
-    inverse = np.linalg.inv(scatter)
-    row = {"g": g, "n": n, "det": float(np.linalg.slogdet(scatter)[1])}
+    unit = np.array(list(FLOORS.values()))
+    values, vectors = np.linalg.eigh(scatter / np.outer(unit, unit))
+    values = np.maximum(values, 1)
+    inverse = (vectors / values) @ vectors.T / np.outer(unit, unit)
+    row = {"g": g, "n": n, "det": float(np.log(values).sum())}
     row |= {f"c{i}": float(centre[i]) for i in range(_SIZE)}
     return row | {f"p{i}{j}": float(inverse[i, j]) for i, j in _PAIRS}
 
@@ -227,7 +256,7 @@ def judge(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int
     ``base_failed``: fewer than 50 words, or over half of them in three-word
     windows found twice or more. ``distance`` is the squared Mahalanobis distance
     from the robust centre of the row's language and source, estimated on rows
-    that pass; rows beyond the chi-square cut for ``tail`` aren't ``kept``.
+    that pass; rows beyond the cut for ``tail`` (``distance_cut``) aren't ``kept``.
     Groups under ``least`` rows are judged by the estimate of all rows of their
     language, or of the whole table if those are too few as well; where even that
     has fewer rows, ``distance`` is null and rows are kept.
@@ -242,9 +271,10 @@ def judge(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int
     rows = scratch.save(_grouped(rows, scratch, least))
     entered = rows.where("not base_failed").select(F.explode("into").alias("g"), *VECTOR)
     found = robust_estimates(entered, scratch, share)
+    found = scratch.save(found.join(found.select("g", "n").mapInPandas(_cuts(tail, share), "g string, cut double"), "g"))
     judged = rows.join(small(found, 200), "g", "left")
     distance = F.when(F.col("c0").isNotNull(), _distance())
-    far = F.coalesce(distance > chi_square_cut(1 - tail, _SIZE), F.lit(False))
+    far = F.coalesce(distance > F.col("cut"), F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~far).alias("kept"), distance.alias("distance"),

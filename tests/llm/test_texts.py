@@ -274,6 +274,36 @@ def test_outliers(frame, corpus, empty, spark):
     assert outliers.judge(empty).collect() == []
 
 
+def test_each_statistic_rejects_alone(frame):
+    rng = np.random.default_rng(9)
+    words = ["abcdefgh"[: n + 1] + str(k) for n in range(8) for k in range(60)]
+    some = lambda n: [str(w) for w in rng.choice(words, n)]
+    lines = lambda own: "\n".join(" ".join(own[i : i + 10]) for i in range(0, len(own), 10))
+    rows = [(i, lines(some(rng.integers(60, 200)))) for i in range(300)]
+    passage = some(24)
+    rows += [
+        (1000, lines(some(5000))),
+        (1001, lines([w * 5 for w in some(100)])),
+        (1002, lines([w + "#" * (i % 10 < 4) for i, w in enumerate(some(100))])),
+        (1003, "\nok\n".join(" ".join(some(5)) for _ in range(24))),
+        (1004, " ".join([*some(26), *passage, *some(26), *passage])),
+    ]
+    got = {r.doc_id: r for r in outliers.judge(frame(rows)).collect()}
+    assert [i for i in range(1000, 1005) if got[i].kept or got[i].base_failed] == []
+    assert sum(got[i].kept for i in range(300)) >= 297
+
+
+def test_distance_cut():
+    assert abs(outliers.distance_cut(1e-4, 1e7) - outliers.chi_square_cut(1 - 1e-4, 5)) < 0.1
+    rng = np.random.default_rng(1)
+    far, cut = [], outliers.distance_cut(0.05, 40)
+    for _ in range(400):
+        own, new = rng.normal(size=(40, 5)), rng.normal(size=(50, 5))
+        off = new - own.mean(axis=0)
+        far.append((np.einsum("ij,jk,ik->i", off, np.linalg.inv(np.cov(own.T)), off) > cut).mean())
+    assert abs(np.mean(far) - 0.05) < 0.01
+
+
 def test_outliers_of_small_groups(spark):
     """Rows of a new source and of a rare language are judged by larger estimates."""
     rng = np.random.default_rng(8)
