@@ -34,7 +34,81 @@ select doc_id, ids sentence_ids, coalesce(n, '') rules, coalesce(l, '') licenses
 from doc left join named using (doc_id) left join lic using (doc_id)"""
 
 
+def _crc32(text: str) -> str:
+    """The CRC-32 of an ASCII string, bit by bit."""
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x : ascii(x)::bigint)),
+  lambda c, b : list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i : case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)),
+  4294967295)"""
+
+
+def _repair() -> str:
+    """A table of the cheapest edits (cost, letters, lines) for each state of the pattern, row by row."""
+    def entry(cost: str, letters: str, lines: str) -> str:
+        return f"{{'c': {cost}, 'l': {letters}, 't': {lines}}}"
+
+    def extended(state: str, cost: str, letter: str, line: str | None) -> str:
+        lines = f"{state}.t" if line is None else f"list_append({state}.t, {line})"
+        return f"case when {state} is not null then {entry(f'{state}.c + {cost}', f'{state}.l || {letter!r}', lines)} end"
+
+    kept = "role || ':' || text"
+    # what a row makes of each state
+    options = {
+        "s0": ["D:s0"],
+        "s1": ["D:s1", "K:s0:s"],
+        "s2": ["D:s2", "K:s0:u", "K:s1:u", "K:s3:u", "R:s0:user", "R:s1:user", "R:s3:user"],
+        "s3": ["D:s3", "K:s2:a", "R:s2:assistant"],
+    }
+    rows = []
+    for state, ways in options.items():
+        found = []
+        for way in ways:
+            letter, origin, *more = way.split(":")
+            if letter == "D":
+                found.append(extended(origin, "3", "D", None))
+            elif letter == "K":
+                found.append(f"case when not gone and initial = '{more[0]}' then {extended(origin, 'cut', 'K', kept)} end")
+            else:
+                line = f"'{more[0]}:' || text"
+                found.append(f"case when not gone then {extended(origin, '2 + cut', 'R', line)} end")
+        rows.append(f"list_min(list_filter([{', '.join(found)}], lambda x : x is not null)) {state}")
+    user = [extended(s, "2", "I", "'user:'") for s in ("s0", "s1", "s3")]
+    some = ["s2", *user]
+    first = f"list_min(list_filter([{', '.join(some)}], lambda x : x is not null))"
+    second = f"list_min(list_filter([s3, {extended('s2', '2', 'I', chr(39) + 'assistant:' + chr(39))}], lambda x : x is not null))"
+    empty = entry("0::bigint", "''", "[]::varchar[]")
+    nothing = "null::struct(c bigint, l varchar, t varchar[])"
+    return rf"""
+with recursive damaged as (
+  select conv_id, turn, f, case f when 4 then 'user' else coalesce(role, ' ') end as "role",
+    case f when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end text
+  from (select *, {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 f from conversations) where f <> 0),
+doubled as (select conv_id, turn, "role", text from damaged union all select conv_id, turn, "role", text from damaged where f = 3),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, "role", left(text, 64), sha256(text)) k from doubled),
+faults as (select *, left("role", 1) initial, not regexp_matches(text, '[^ 	-]') blank,
+    row_number() over (partition by conv_id, "role", text order by k) > 1 again,
+    not regexp_matches(text, '[.!?][ 	-]*$') open_end,
+    lag(left("role", 1)) over (partition by conv_id order by k) before from placed),
+rows_in as (select conv_id, turn, "role", text, k, initial, before, blank, not blank and again copied, not blank and not again and open_end truncated,
+    blank or again gone, (not blank and not again and open_end)::int cut from faults),
+summary as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, sum(blank::int)::bigint blank,
+    sum(copied::int)::bigint duplicate, sum(truncated::int)::bigint truncated,
+    sum((before is not null and before || initial not in ('su', 'ua', 'au'))::int)::bigint illegal, max(k) n from rows_in group by conv_id),
+walk as (
+  select conv_id, 0::bigint k, {empty} s0, {nothing} s1, {entry("2::bigint", "'I'", "['user:']")} s2, {entry("4::bigint", "'II'", "['user:', 'assistant:']")} s3
+  from summary
+  union all
+  select conv_id, k, s0, s1, s2, case when s2 is null then s3 else {second} end s3 from (
+    select conv_id, k, s0, s1, {first} s2, s3 from (
+      select conv_id, k, s0, s1, s2, {second} s3 from (
+        select w.conv_id, r.k, {", ".join(rows)} from walk w join rows_in r on r.conv_id is not distinct from w.conv_id and r.k = w.k + 1)))),
+ends as (select conv_id, list_min(list_filter([s0, s3], lambda x : x is not null)) e from walk join summary using (conv_id) where k = n)
+select conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+  coalesce(illegal, 0) illegal, coalesce(e.c, 0) as "cost", coalesce(e.l, '') audit, sha256(coalesce(array_to_string(e.t, chr(10)), '')) repaired_sha256
+from (select distinct conv_id from conversations) left join summary using (conv_id) left join ends using (conv_id)"""
+
+
 ORACLE = {
+    "op11_turn_repair": _repair(),
     "op1_token_counts": rf"""
 with d as (select doc_id, source, lang, case when doc_id % 5 = 0 then string_split(text, chr(10))[1] else text end t
            from documents where doc_id % 7 <> 0),

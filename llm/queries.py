@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, chat, decontaminate, language, licenses, lm_score, near_dups, outliers, substrings
+from llm import byte_bpe, chat, decontaminate, language, licenses, lm_score, near_dups, outliers, repair, substrings
+from llm.ordering import sorted_digests
 from llm.scratch import Scratch
 from llm.token_counts import TokenTotals, counted
 from stackleaf.sources.tables import read_table
@@ -117,6 +118,37 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(read_table(spark, folder, "documents"), *vocabulary_file())
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations are damaged by a hash of conversation and turn, then repaired."""
+    table = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+
+    def spaced(name: str) -> F.Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fault = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20
+    damaged = table.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(spaced("role")).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(spaced("text"), "[.!?]", "")).otherwise(spaced("text")).alias("text"),
+        F.explode(F.when(fault == 0, F.array().cast("array<int>")).when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))),
+    ).drop("col")
+    found = repair.repair(damaged)
+    lines = found.turns.select("conv_id", "k", "step", F.concat("role", F.lit(":"), "text").alias("line"))
+    digests = sorted_digests(lines, ["conv_id"], ["k", "step"], "line", "\n")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    result = table.select("conv_id").distinct()
+    for part in (found.conversations, digests):
+        part = part.withColumnRenamed("conv_id", "_conv")
+        result = result.join(part, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    return result.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.lit(_sha256(""))).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_substrings": op2_substrings,
@@ -128,4 +160,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_near_dups": op9_near_dups,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_turn_repair": op11_turn_repair,
 }
