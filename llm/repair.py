@@ -78,7 +78,7 @@ class Lattice:
         self.arcs += [[("", exits[state], self.end)] if exits[state] < FAR else [] for state in range(4)]
         # no state makes an edit of a row cheaper than this
         least = [min(cost for state in range(4) for _, cost, _ in row_arcs(kind, state)) for kind in kinds]
-        bound = np.concatenate([np.cumsum(least[::-1], dtype=np.int64)[::-1], [0]])
+        bound = np.concatenate([np.cumsum(least[::-1], dtype=np.int64)[::-1], [0]]) + min(exits)
         self.price = [int(x) for x in bound for _ in range(4)] + [0]
         if max(exits) >= FAR:
             reach = self._leads(tight=False)
