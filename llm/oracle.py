@@ -84,9 +84,11 @@ with recursive damaged as (
   from (select *, {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 f from conversations) where f <> 0),
 doubled as (select conv_id, turn, "role", text from damaged union all select conv_id, turn, "role", text from damaged where f = 3),
 placed as (select *, row_number() over (partition by conv_id order by turn nulls first, "role", left(text, 64), sha256(text)) k from doubled),
-faults as (select *, left("role", 1) initial, not regexp_matches(text, '[^ 	-]') blank,
+faults as (select *, left("role", 1) initial, not regexp_matches(text, '[^ 	-
+]') blank,
     row_number() over (partition by conv_id, "role", text order by k) > 1 again,
-    not regexp_matches(text, '[.!?][ 	-]*$') open_end,
+    not regexp_matches(text, '[.!?][ 	-
+]*$') open_end,
     lag(left("role", 1)) over (partition by conv_id order by k) before from placed),
 rows_in as (select conv_id, turn, "role", text, k, initial, before, blank, not blank and again copied, not blank and not again and open_end truncated,
     blank or again gone, (not blank and not again and open_end)::int cut from faults),
@@ -108,6 +110,29 @@ from (select distinct conv_id from conversations) left join summary using (conv_
 
 
 ORACLE = {
+    "op12_prefix_trie": f"""
+with placed as (select conv_id, coalesce("role", '') || chr(0) || coalesce(text, '') x, strlen(coalesce(text, '')) b,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce("role", ''), left(coalesce(text, ''), 64),
+      sha256(coalesce(text, ''))) k from conversations where conv_id is not null),
+members as (select conv_id, conv_id - conv_id % 5 base, {_crc32("conv_id::varchar")} % 9 h
+  from (select distinct conv_id from conversations where conv_id is not null)),
+lists as (select conv_id, list(x order by k) xs, list(b order by k) bs from placed group by conv_id),
+rebuilt as (select m.conv_id, list_concat(coalesce(p.xs[1:h], []), coalesce(o.xs[h + 1:], [])) xs,
+    list_concat(coalesce(p.bs[1:h], []), coalesce(o.bs[h + 1:], [])) bs
+  from members m left join lists p on p.conv_id = base left join lists o on o.conv_id = m.conv_id),
+steps as (select conv_id, d, sha256(xs[1:d]::varchar) p, case when d > 0 then bs[d] else 0 end b, d = len(xs) ends
+  from (select *, unnest(range(len(xs) + 1)) d from rebuilt)),
+named as (select *, min(conv_id) over (partition by d, p) node, count(*) over (partition by d, p) n from steps),
+paths as (select *, lag(node) over (partition by conv_id order by d) parent from named),
+nodes as (select node, d, any_value(parent) parent, any_value(n) n, any_value(b) b,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (ends) e from paths group by node, d),
+kids as (select parent node, d - 1 d, count(*) c from nodes where d > 0 group by all),
+full_nodes as (select *, coalesce(c, 0) nc from nodes left join kids using (node, d)),
+-- each node with all nodes of the path of its smallest member down to it
+above as (select u.node, u.d, v.n, v.b, v.nc from full_nodes v join paths u on u.conv_id = v.node and u.d <= v.d),
+sums as (select node, d, sum((nc = 0)::int) leaves, sum((n - 1) * b) saved from above group by node, d)
+select node conv_id, d "depth", parent parent_conv_id, n n_convs, nc n_children, leaves::bigint n_leaves, saved::bigint saved_tokens,
+  sha256(coalesce(e, '')) ends_sha256 from full_nodes join sums using (node, d)""",
     "op11_turn_repair": _repair(),
     "op1_token_counts": rf"""
 with d as (select doc_id, source, lang, case when doc_id % 5 = 0 then string_split(text, chr(10))[1] else text end t

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, chat, decontaminate, language, licenses, lm_score, near_dups, outliers, repair, substrings
-from llm.ordering import sorted_digests
+from llm import byte_bpe, chat, decontaminate, language, licenses, lm_score, near_dups, outliers, prefix_trie, repair, substrings
+from llm.ordering import positions, sorted_digests
 from llm.scratch import Scratch
 from llm.token_counts import TokenTotals, counted
 from stackleaf.sources.tables import read_table
@@ -149,6 +149,35 @@ def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations are rebuilt to share first turns in groups of five, then their trie is made."""
+    table = read_table(spark, folder, "conversations").where("conv_id is not null")
+    table = table.select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    order = [F.col("turn"), F.col("role"), F.substring("text", 1, 64), F.sha2("text", 256)]
+    scratch = Scratch(spark, "rebuilt")
+    placed = positions(table, "conv_id", order, scratch)
+    taken = F.crc32(F.col("conv_id").cast("string")) % 9
+    members = table.select("conv_id").distinct().withColumn("h", taken).withColumn("base", F.expr("conv_id - conv_id % 5"))
+    # no conversation takes more than 8 turns, and at most nine conversations take from one
+    first = placed.where("at < 8").select(F.col("conv_id").alias("base"), "at", "role", "text")
+    shared = members.where("h > 0").join(first, "base").where("at < h").select("conv_id", "at", "role", "text")
+    lent = shared.groupBy("conv_id").agg(F.count("*").alias("lent"))
+    own = placed.where(F.col("at") >= taken).join(scratch.save(lent), "conv_id", "left")
+    own = own.select("conv_id", (F.col("at") - taken + F.coalesce("lent", F.lit(0))).alias("at"), "role", "text")
+    found = prefix_trie.prefix_trie(shared.unionByName(own), members.select("conv_id"))
+    names = found.ends.select("owner", "depth", "conv_id", F.col("conv_id").cast("string").alias("name"))
+    digests = sorted_digests(names, ["owner", "depth"], ["conv_id"], "name", ",").withColumnRenamed("owner", "conv_id")
+    counts = ["n_convs", "n_children", "n_leaves"]
+    return found.nodes.join(digests, ["conv_id", "depth"], "left").select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        *counts,
+        F.col("saved").alias("saved_tokens"),
+        F.coalesce("digest", F.lit(_sha256(""))).alias("ends_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_substrings": op2_substrings,
@@ -161,4 +190,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dups": op9_near_dups,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_turn_repair": op11_turn_repair,
+    "op12_prefix_trie": op12_prefix_trie,
 }
