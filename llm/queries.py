@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, chat, decontaminate, language, licenses, lm_score, near_dups, outliers, prefix_trie, repair, substrings
+from llm import byte_bpe, chat, decontaminate, gam, language, licenses, lm_score, near_dups, outliers, prefix_trie, repair, substrings
 from llm.ordering import positions, sorted_digests
 from llm.scratch import Scratch
 from llm.token_counts import TokenTotals, counted
@@ -178,6 +178,20 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# What a document must reach to be kept as good text.
+QUALITY_CUT = 0.3
+
+
+def op13_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of four fifths of the documents teach the model, which scores all of them."""
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    found = gam.score(docs, gam.fit(docs, labels.where(~held_out)))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_substrings": op2_substrings,
@@ -191,4 +205,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_turn_repair": op11_turn_repair,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality_gam": op13_quality_gam,
 }
