@@ -252,6 +252,30 @@ asked AS (
          || '{ANSWER_FORM.strip()}' || chr(10) || chr(10) || 'Passages:' || chr(10) || coalesce(results, '') AS prompt
   FROM questions LEFT JOIN results USING (query_id))"""
 
+_NAMED = CHUNKS.replace("chunks AS", "plain AS", 1)
+
+
+def _every_twentieth(named: bool) -> str:
+    """The exact search for vectors whose id is divisible by 20; a chunk of a stored
+    index is named with its document."""
+    chunks = f"{_NAMED}, chunks AS (SELECT * REPLACE (content_hash || '_' || chunk_id AS chunk_id) FROM plain)" if named else CHUNKS
+    return f"WITH {chunks}, {_ranked(_COSINE, 'DESC', 10, 'query_id % 20 = 0')} SELECT query_id, rank, chunk_id, score FROM hits"
+
+
+_RECALLED = "SELECT count(*) FILTER (vec_id % 20 = 0) * least(10, count(*)) AS wanted, true AS recall_reached FROM embeddings"
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (len(lower({0})) - len(replace(lower({0}), c, '')))::DOUBLE)"
+_TEXTS = f"""distinct_texts AS MATERIALIZED (
+  SELECT sha256(text) AS content_hash, 'f' || min(doc_id) AS filename, any_value(text) AS text
+  FROM documents WHERE text IS NOT NULL GROUP BY sha256(text))"""
+_TEXT_HITS = f"""{_TEXTS},
+coded AS MATERIALIZED (SELECT *, {_LETTERS.format('text')} AS e FROM distinct_texts),
+asked AS MATERIALIZED (SELECT doc_id AS query_id, left(text, 200) AS question, {_LETTERS.format('left(text, 200)')} AS q
+  FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+scored AS (SELECT query_id, question, filename, content_hash, text,
+    round(coalesce(list_cosine_similarity(e, q), 0.0), 6) + 0.0 AS score FROM asked, coded),
+hits AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, content_hash))::INTEGER AS rank
+  FROM scored QUALIFY rank <= 10)"""
+
 _STEM = (
     r"lower(replace(replace(regexp_replace(filename, '(.)\.[^.]+$', '\1'), ' ', '_'), '-', '_'))"
 )
@@ -450,4 +474,18 @@ ORACLE: dict[str, str] = {
              (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank
       FROM (SELECT query_id, chunk_id FROM hits) JOIN chunks USING (chunk_id) JOIN questions USING (query_id)
       QUALIFY rank <= 10""",
+    "topk_blocked": _every_twentieth(False),
+    "topk_postfill": f"WITH {CHUNKS}, {_ranked(_COSINE, 'DESC', 10, f"headings <> 'Contents' AND config = '{CONFIG}'")} "
+    "SELECT query_id, rank, chunk_id, score FROM hits",
+    "index_search": _every_twentieth(True),
+    "index_search_sq8": _RECALLED,
+    "index_recall": _RECALLED,
+    "ask_citations": f"WITH {_TEXT_HITS} SELECT query_id, rank, filename, content_hash, 0::BIGINT AS pages FROM hits",
+    "ask_text": f"""WITH {_TEXT_HITS},
+      results AS (SELECT query_id, array_to_string(list('--- Passage ' || rank || ' ---' || chr(10) || 'Section: ' || chr(10)
+          || 'Summary: ' || chr(10) || text || chr(10) ORDER BY rank), chr(10)) AS results FROM hits GROUP BY query_id)
+      SELECT query_id, sha256('Question:' || chr(10) || question || chr(10) || chr(10) || '{ANSWER_FORM.strip()}' || chr(10) || chr(10)
+        || 'Passages:' || chr(10) || coalesce(results, '')) AS answer FROM asked LEFT JOIN results USING (query_id)""",
+    "delete_document": f"""WITH {_TEXTS} SELECT filename, content_hash,
+      CASE WHEN substr(filename, 2)::BIGINT % 7 = 0 THEN 'deleted' ELSE 'live' END AS state FROM distinct_texts""",
 }

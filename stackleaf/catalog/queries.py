@@ -12,14 +12,16 @@ from stackleaf.catalog import fixtures as fx
 from stackleaf.functions import headings as hd
 from stackleaf.functions import keys, replies
 from stackleaf.functions import text as tx
-from stackleaf.operators import ann, chunking, enrich, ordered, prompts, structure
+from stackleaf.operators import ann, blocked, chunking, enrich, ordered, prompts, structure
 from stackleaf.operators import ledger as lg
 from stackleaf.operators import retrieve as rt
 from stackleaf.plans import settings as st
+from stackleaf.plans.ask import Answering, embedded
 from stackleaf.plans.ingest import Ingest
 from stackleaf.sources import files as fl
 from stackleaf.sources import store
 from stackleaf.sources.tables import read_table, work_folder
+from stackleaf.sources.vector_index import IndexSettings, VectorIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -734,3 +736,139 @@ def ivf_pq(spark, sf):
     index = ann.pq_index(assigned, codec)
     hits = ann.pq_search(index, codec, clusters, fx.questions(spark, sf), chunks, nprobe=16, digits=6)
     return hits.select("query_id", "rank", "chunk_id", "score")
+
+
+@query
+def topk_blocked(spark, sf):
+    """Every vector whose id is divisible by 20, as a table of questions that never
+    passes through the driver; the cells are small, so that there are several."""
+    questions = fx.questions(spark, sf).where("query_id % 20 = 0").select("query_id", "embedding")
+    vectors = fx.chunks(spark, sf).select("chunk_id", "embedding")
+    hits = blocked.top_k_blocked(vectors, questions, rt.DEFAULT_K, digits=6, cell_bytes=1 << 16)
+    return hits.select("query_id", "rank", "chunk_id", "score")
+
+
+@query
+def topk_postfill(spark, sf):
+    """The post-filter that goes on until each question has its hits."""
+    hits = rt.top_k_postfiltered(
+        fx.chunks(spark, sf), fx.questions(spark, sf), config=fx.CONFIG, digits=6, fill=True
+    )
+    return hits.select("query_id", "rank", "chunk_id", "score")
+
+
+def _stored_index(spark, sf, settings, name):
+    """All vectors in a stored index: even ids train it, odd ones arrive as a second batch."""
+    chunks = fx.chunks(spark, sf).select(
+        "content_hash", "chunk_id", "pipeline_config_hash", "headings", "embedding",
+        (F.substring("chunk_id", 2, 20).cast("bigint") % 2 + 1).alias("batch_id"),
+    )
+    rows = fx.saved(chunks, name)
+    folder = work_folder(spark, name)
+    VectorIndex(spark, folder).create().build(rows.where("batch_id = 1"), settings)
+    VectorIndex(spark, folder).add(rows.where("batch_id = 2"))
+    return VectorIndex(spark, folder)
+
+
+def _twentieth(spark, sf):
+    return fx.questions(spark, sf).where("query_id % 20 = 0").select("query_id", "embedding")
+
+
+@query
+def index_search(spark, sf):
+    """A stored index after two batches, all clusters probed: equals the exact search."""
+    index = _stored_index(spark, sf, IndexSettings(nlist=16), "index-search")
+    hits = index.search(_twentieth(spark, sf), nprobe=16, digits=6)
+    return hits.select("query_id", "rank", "chunk_id", "score")
+
+
+@query
+def index_search_sq8(spark, sf):
+    """The same with codes; ten hits of forty candidates are those of the exact search
+    for at least nine in ten places."""
+    index = _stored_index(spark, sf, IndexSettings(kind="sq8", nlist=16), "index-sq8")
+    return _recall(spark, sf, index.search(_twentieth(spark, sf), nprobe=16))
+
+
+@query
+def index_recall(spark, sf):
+    """Twelve of 16 clusters probed: at least nine in ten of the exact hits are found."""
+    index = _stored_index(spark, sf, IndexSettings(nlist=16), "index-recall")
+    return _recall(spark, sf, index.search(_twentieth(spark, sf), nprobe=12))
+
+
+def _recall(spark, sf, hits):
+    named = fx.chunks(spark, sf).select(F.concat_ws("_", "content_hash", "chunk_id").alias("chunk_id"), "embedding")
+    exact = rt.top_k(named, _twentieth(spark, sf)).select("query_id", "chunk_id")
+    found = exact.join(hits.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return found.agg(
+        F.count("*").alias("wanted"), (F.count("hit") >= F.count("*") * 0.9).alias("recall_reached")
+    )
+
+
+def _letter_counts():
+    """Stand-in embedding model that SQL can repeat: how often each letter occurs."""
+    return lambda texts: [[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def _document_corpus(spark, sf, name):
+    """Every distinct text as one chunk of a stored corpus, embedded by letters."""
+    docs = fx.documents(spark, sf).where("text IS NOT NULL")
+    one = docs.groupBy(F.sha2("text", 256).alias("content_hash")).agg(
+        F.concat(F.lit("f"), F.min("doc_id").cast("string")).alias("filename"), F.first("text").alias("text")
+    )
+    none = F.lit("")
+    records = one.select(
+        "content_hash", F.lit("t").alias("chunk_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"),
+        "filename", "text", F.col("text").alias("enriched_text"), none.alias("headings"), none.alias("parent_headings"),
+        none.alias("summary"), none.alias("page_numbers"), keys.binary_hash(F.col("content_hash")).alias("binary_hash"),
+        F.lit(fx.CONFIG).alias("pipeline_config_hash"),
+    )
+    corpus = store.Corpus(spark, work_folder(spark, name)).create()
+    records = enrich.embed(records, _letter_counts, once=False).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    corpus.write_chunks(records, 1)
+    stored = corpus.all_chunks()
+    events = stored.select(
+        F.lit(3).cast("bigint").alias("seq"), F.lit("register").alias("op"), "filename",
+        F.col("filename").alias("source_path"), "content_hash", "pipeline_config_hash", F.lit("text").alias("parser"),
+        F.current_timestamp().alias("ingested_at"), F.lit(1).alias("chunk_count"),
+    )
+    corpus.append_events(events, 1)
+    return corpus
+
+
+def _answering(spark, sf, name):
+    corpus = _document_corpus(spark, sf, name)
+    corpus.index(fx.CONFIG).build(corpus.all_chunks(), IndexSettings(nlist=8))
+    return Answering(corpus, fx.CONFIG, _letter_counts, nprobe=8, digits=6)
+
+
+def _text_questions(spark, sf):
+    picked = fx.documents(spark, sf).where("doc_id % 20 = 0 AND text IS NOT NULL")
+    return picked.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("question"))
+
+
+@query
+def ask_text(spark, sf):
+    """Questions in words: embedded, searched in the stored index, answered."""
+    found = _answering(spark, sf, "ask-text").ask(_text_questions(spark, sf), _echo_client)
+    return found.select("query_id", "answer")
+
+
+@query
+def ask_citations(spark, sf):
+    """Where the hits of questions in words come from."""
+    answering = _answering(spark, sf, "ask-citations")
+    asked = embedded(_text_questions(spark, sf), _letter_counts)
+    cited = answering.citations(answering.hits(asked), asked)
+    return cited.select("query_id", "rank", "filename", "content_hash", F.size("page_numbers").cast("bigint").alias("pages"))
+
+
+@query
+def delete_document(spark, sf):
+    """Every seventh document is deleted by name; the rest stays searchable."""
+    corpus = _document_corpus(spark, sf, "delete-document")
+    names = fx.documents(spark, sf).where("doc_id % 7 = 0").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename"))
+    gone = corpus.delete_documents(names, 2).select("filename", "content_hash", F.lit("deleted").alias("state"))
+    left = corpus.chunks(fx.CONFIG).select("filename", "content_hash", F.lit("live").alias("state"))
+    return gone.unionByName(left)

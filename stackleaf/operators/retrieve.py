@@ -5,9 +5,9 @@ multiplies blocks of vectors with the matrix of questions, and keeps the best
 ``k`` per question. Only those leave the task, and one window over
 ``question`` merges them. No pair rows are made and the corpus is not shuffled.
 
-The questions go to the tasks as a broadcast matrix, but only in slices whose
-size was measured: a batch above ``MAX_SLICE_BYTES`` is cut by a hash of the
-question id into slices below it, one scan of the corpus each.
+The questions go to the tasks as a broadcast matrix only where their measured
+size is at most ``MAX_SLICE_BYTES``; a larger batch is searched as a blocked
+product of two tables (``blocked``) and never passes through the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackleaf.functions import keys
-from stackleaf.functions.vectors import METRICS, similarity
+from stackleaf.functions.vectors import METRICS
 from stackleaf.sources.tables import MAX_BROADCAST_ROWS, work_folder
 
 # Defaults of a search.
@@ -81,6 +81,12 @@ def question_slices(
             yield Slice(table["q"].combine_chunks(), flat.reshape(table.num_rows, -1), id_type)
 
 
+def question_bytes(questions: DataFrame, vector: str = "embedding") -> int:
+    """Bytes of a question batch as a matrix with its ids, by one small aggregate."""
+    known = questions.where(F.col(vector).isNotNull())
+    return known.agg(F.sum(F.size(vector) * F.lit(8) + F.lit(64))).first()[0] or 0
+
+
 class BestK:
     """Running best ``k`` per question in one task. Order: score (better
     first), then id; the same order as the final merge, so cuts are exact.
@@ -266,6 +272,10 @@ def top_k(
         raise ValueError(f"unknown metric {metric!r}; use one of {sorted(METRICS)}")
     kept = chunks.where(F.expr(where)) if where else chunks
     vectors = kept.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
+    if question_bytes(questions) > MAX_SLICE_BYTES:
+        from stackleaf.operators.blocked import top_k_blocked
+
+        return top_k_blocked(vectors, questions.select("query_id", "embedding"), k, metric, digits)
     parts = [_scan(vectors, s, k, metric, digits=digits) for s in question_slices(questions)]
     if not parts:
         return no_hits(chunks, questions)
@@ -311,11 +321,13 @@ def top_k_postfiltered(
     config: str | None = None,
     candidates: int | None = None,
     digits: int | None = None,
+    fill: bool = False,
 ) -> DataFrame:
     """Over-fetch ``candidates`` (``2 * k`` by default, ``k`` at least), drop those with an excluded
-    heading or of another config, keep up to ``k``. May return fewer than
-    ``k``: that is this search's contract; ``top_k_prefiltered`` is the one
-    that fills up."""
+    heading or of another config, keep up to ``k``. Without ``fill`` a question may
+    get fewer than ``k``. With it, questions that got fewer search again, and only
+    they: with the condition applied ahead of the scoring, which finds what any
+    longer list of candidates would leave."""
     excluded = excluded_headings() if excluded is None else list(excluded)
     fetch = max(k, 2 * k if candidates is None else candidates)
     found = top_k(chunks, questions, fetch, metric, digits=digits)
@@ -325,7 +337,31 @@ def top_k_postfiltered(
     kept = meta.where(~F.coalesce("headings", F.lit("")).isin(*excluded))
     if config is not None:
         kept = kept.where(F.col("pipeline_config_hash") == config)
-    return rank_hits(kept.select("query_id", "chunk_id", "score"), k, metric)
+    hits = rank_hits(kept.select("query_id", "chunk_id", "score"), k, metric)
+    return _filled(hits, chunks, questions, k, metric, excluded, config, digits) if fill else hits
+
+
+def _filled(
+    hits: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, metric: str,
+    excluded: Sequence[str], config: str | None, digits: int | None,
+) -> DataFrame:
+    """Hits with those of short questions replaced by a filtered search. Hits are saved,
+    so the first search runs once."""
+    spark = hits.sparkSession
+    folder = work_folder(spark, "hits")
+    hits.write.parquet(folder)
+    saved = spark.read.schema(hits.schema).parquet(folder)
+    full = saved.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    short = questions.join(full, "query_id", "left_anti")
+    if short.isEmpty():
+        return saved
+    wanted = chunks.where(F.col("headings").isNull() | ~F.col("headings").isin(*excluded)) if excluded else chunks
+    if "" in excluded:
+        wanted = wanted.where(F.col("headings").isNotNull())
+    if config is not None:
+        wanted = wanted.where(F.col("pipeline_config_hash") == config)
+    more = top_k(wanted, short, k, metric, digits=digits)
+    return saved.join(full, "query_id", "left_semi").unionByName(more)
 
 
 def attach(
@@ -401,12 +437,39 @@ def rescore(
     digits: int | None = None,
 ) -> DataFrame:
     """Exact scores for candidate pairs, then the best ``k`` per question.
-    There are at most ``max_rows`` candidates."""
+    There are at most ``max_rows`` candidates. Pairs are scored batch by batch
+    with the arithmetic of the exact search."""
     fetch = attach_stored if "file" in chunks.columns else attach
     pairs = fetch(
         candidates.select("query_id", "chunk_id"), chunks, ["embedding"], max_rows
     ).withColumnRenamed("embedding", "_a")
-    exact = pairs.join(
-        questions.select("query_id", F.col("embedding").alias("_b")), "query_id"
-    ).select("query_id", "chunk_id", similarity(F.col("_a"), F.col("_b"), metric, digits).alias("score"))
+    pairs = pairs.join(questions.select("query_id", F.col("embedding").alias("_b")), "query_id")
+    kinds = dict(pairs.dtypes)
+    exact = pairs.select("query_id", "chunk_id", "_a", "_b").mapInArrow(
+        _pair_scores(metric, digits), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    )
     return rank_hits(exact, k, metric)
+
+
+def _pair_scores(metric: str, digits: int | None):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (
+                batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                for i in (2, 3)
+            )
+            if metric == "l2":
+                scores = np.sqrt(((a - b) ** 2).sum(1))
+            else:
+                scores = np.einsum("ij,ij->i", a, b)
+                if metric == "cosine":
+                    norms = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
+                    scores = np.divide(scores, norms, out=np.zeros_like(norms), where=norms > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(_rounded(scores, digits) + 0.0)],
+                names=["query_id", "chunk_id", "score"],
+            )
+
+    return run

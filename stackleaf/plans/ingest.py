@@ -25,6 +25,7 @@ from stackleaf.plans.settings import Settings
 from stackleaf.sources import files as fl
 from stackleaf.sources.store import Corpus, chunk_records
 from stackleaf.sources.tables import small_side
+from stackleaf.sources.vector_index import IndexSettings
 
 
 @dataclass
@@ -39,6 +40,7 @@ class Ingest:
     make_client: Callable | None = None
     make_embedder: Callable | None = None
     dims: int = 256
+    index: IndexSettings | None = None
 
     def run(self, corpus: Corpus, files: DataFrame, batch_id: int) -> DataFrame:
         """Process ``files`` (``path, content`` and, optionally, ``seq`` for
@@ -119,6 +121,8 @@ class Ingest:
         written = corpus.all_chunks().where(
             (F.col("batch_id") == batch_id) & (F.col("pipeline_config_hash") == config)
         )
+        if self.index is not None:
+            self._indexed(corpus, config, written)
         counts = written.groupBy("content_hash").agg(
             F.max("total_chunks").alias("chunk_count")
         )
@@ -147,6 +151,15 @@ class Ingest:
             "filename", "content_hash", "chunk_count"
         )
 
+    def _indexed(self, corpus: Corpus, config: str, written: DataFrame) -> None:
+        """Bring the vectors of the batch into the stored index; the first batch with
+        vectors, with all that were there before it, trains it."""
+        index = corpus.index(config)
+        if index.exists():
+            index.add(written)
+        else:
+            index.build(corpus.all_chunks().where(F.col("pipeline_config_hash") == config), self.index)
+
     def _picked(self, files: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
         """The files to parse, without moving file contents where possible: a
         batch of new files passes as it is, a small selection is broadcast, and

@@ -12,7 +12,7 @@ One writer at a time: plain Parquet has no concurrent commit.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from stackleaf.functions import keys
 from stackleaf.operators import ledger as lg
 from stackleaf.sources.files import BLOCKS
 from stackleaf.sources.tables import MAX_BROADCAST_ROWS, small_side
+from stackleaf.sources.vector_index import VectorIndex
 
 ARRIVAL_SCHEMA = (
     "source_path string, filename string, content_hash string, pipeline_config_hash string, "
@@ -55,6 +56,10 @@ class Corpus:
         """Folder of saved replies of one model."""
         return self._path("replies/" + re.sub(r"[^A-Za-z0-9._-]", "_", model))
 
+    def index(self, config: str) -> VectorIndex:
+        """The stored vector index of one generation; ``exists`` tells if there is one."""
+        return VectorIndex(self.spark, self._path(f"index/{config}")).create()
+
     def create(self) -> "Corpus":
         """Lay down empty tables, so that the first batch can read them."""
         for table, schema, parts in (
@@ -187,6 +192,33 @@ class Corpus:
         mine = F.col("pipeline_config_hash") == config
         return self._visible(self.all_chunks().where(mine), self.events().where(mine))
 
+    def visible(self, config: str) -> Callable[[DataFrame], DataFrame]:
+        """A filter that leaves the rows of live document versions in any table of this
+        generation with the key columns and ``batch_id``."""
+        events = self.events().where(F.col("pipeline_config_hash") == config)
+        return lambda rows: self._visible(rows, events)
+
+    def delete_documents(self, wanted: DataFrame, batch_id: int, config: str | None = None) -> DataFrame:
+        """Delete documents by ``filename``, by ``content_hash`` or, with both columns,
+        by the pair; of one generation or of all. Returns the entries deleted.
+
+        Only delete events are written, with a batch number of their own: chunks and
+        index rows stop being visible with them and leave the disk at the next
+        ``compact_to``. Names that are not live are ignored; a repeated call with
+        the same number deletes the same entries."""
+        by = [c for c in ("filename", "content_hash") if c in wanted.columns]
+        if not by:
+            raise ValueError("name the documents by filename or content_hash")
+        live = lg.current(self.events(batch_id))
+        if config is not None:
+            live = live.where(F.col("pipeline_config_hash") == config)
+        gone = live.join(small_side(wanted.select(*by).distinct()), by, "left_semi")
+        events = gone.select(
+            F.lit(2 * batch_id).cast("bigint").alias("seq"), F.lit("delete").alias("op"), *lg.ENTRY_COLUMNS
+        )
+        self.append_events(events, batch_id)
+        return self.batch_events(batch_id).select(*lg.ENTRY_COLUMNS)
+
     def compact_to(self, target: str, configs: Sequence[str] | None = None) -> "Corpus":
         """Rewrite the live part of the corpus to another folder (a table must
         not be overwritten while it is read). With ``configs``, generations
