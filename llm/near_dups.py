@@ -6,20 +6,24 @@ of plain minimum hashing. Values of the same kind under different permutations
 form a band; documents that share a band are candidates.
 
 Rows with one shingle set are one class, kept once. Inside a shared band the
-first class is compared with every other one; a second pass compares the
-signatures of what then is still in different components, tile by tile, and
-hands on only pairs that agree. So every two classes that share a band are
-either compared or already connected, and no task holds more than two tiles.
-Candidates whose signatures agree in few places go; all others are confirmed
-on their full shingle sets.
+first class is compared with every other one. A second pass compares what then
+is still in different components, tile by tile, each pair in the first band it
+shares. Rows with a partner whose signature agrees stay; their full shingle sets
+are compared in the task, which hands on a spanning forest of confirmed links and
+never pairs. So every two classes that share a band are either compared or
+already connected, no task holds more than two tiles, and the rows that leave the
+tasks grow with the rows of a group, not with its pairs. Candidates whose
+signatures agree in few places go; all others are confirmed on their full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +43,9 @@ SIGNATURE = 2 * PERMUTATIONS
 SLACK = 0.1
 FIRST_LOOK = 64
 FIRST_SLACK = 0.33
-# Rows of a shared band compared at once.
+# Rows of a shared band compared at once, and about how many shingles they have.
 TILE = 1024
+TILE_SHINGLES = 1 << 22
 
 _random = np.random.default_rng(971)
 _FACTOR = _random.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -162,12 +167,16 @@ def _agree(threshold: float):
     return run
 
 
+def _keys_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _likely(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one shared band whose signatures agree. A pair
-    comes from every band it shares: bytes can't tell which of them is the first."""
-    low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
-    tile, node, component = (rows[c].to_numpy() for c in ("tile", "node", "component"))
-    signs = _bytes_of(rows["checks"].combine_chunks())
+    """Places of the pairs of different components whose signatures agree, and that
+    share no band before this one: each pair is looked at in one band."""
+    band, low, high = (rows[c][0].as_py() for c in ("band", "low", "high"))
+    tile, component = (rows[c].to_numpy() for c in ("tile", "component"))
+    signs, keys = _bytes_of(rows["checks"].combine_chunks()), _keys_of(rows["bands"].combine_chunks())
     ones, twos = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
     found_a, found_b = [], []
     for begin in range(0, len(ones), 64):
@@ -179,35 +188,118 @@ def _likely(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.nonzero(good)
         for part in range(0, len(i), 4096):
             a, b = some[i[part : part + 4096]], twos[j[part : part + 4096]]
-            same = signs[a] == signs[b]
-            keep = _similarity(same.mean(axis=1)) >= threshold - SLACK
-            found_a.append(np.minimum(node[a], node[b])[keep])
-            found_b.append(np.maximum(node[a], node[b])[keep])
+            keep = _similarity((signs[a] == signs[b]).mean(axis=1)) >= threshold - SLACK
+            a, b = a[keep], b[keep]
+            shared = keys[a] == keys[b]
+            first = keys[a, shared.argmax(axis=1)] == band
+            found_a.append(a[first])
+            found_b.append(b[first])
     empty = np.zeros(0, dtype=np.int64)
     return np.concatenate([empty, *found_a]), np.concatenate([empty, *found_b])
 
 
-def _across(threshold: float):
-    """The likely pairs of rows that are sorted by band and pair of tiles."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each band and pair of tiles; rows are sorted by these."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        keys = np.stack([rows[c].to_numpy() for c in ("band", "low", "high")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
+            yield rows.slice(a, b - a)
+        rest = rows.slice(int(cuts[-1]) if len(cuts) else 0)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _with_partner(threshold: float):
+    """Keeps the rows that have a likely partner among those of their band and tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            keys = np.stack([rows[c].to_numpy() for c in ("band", "low", "high")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
-                pairs = _likely(rows.slice(a, b - a), threshold)
-                if len(pairs[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
-            rest = rows.slice(int(cuts[-1]) if len(cuts) else 0)
-        if rest is not None and rest.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _likely(rest, threshold)], names=["a", "b"])
+        for rows in _groups(batches):
+            a, b = _likely(rows, threshold)
+            if len(a):
+                yield from rows.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
 
     return run
 
 
+def _forest(percent: int):
+    """Confirmed links that join components: a spanning forest of those between the
+    rows of one band and pair of tiles, found by comparing whole sets. Each group
+    has rows with signatures (``text`` is null) and rows with texts. At most one
+    link fewer than there are nodes leaves the task."""
+    threshold = percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sets in _bodies(batches):
+            links = _joined(rows, sets, *_likely(rows, threshold), percent)
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, dict[int, list[np.ndarray]]]]:
+    """The signature rows of each group, and the shingle sets of its nodes. Texts are
+    turned into sets batch by batch and not kept."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "low", "high")])
+        at = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for low, high in zip(at, at[1:], strict=False):
+            yield tuple(keys[:, low]), batch.slice(int(low), int(high - low))
+
+    for _, parts in groupby((x for batch in batches if batch.num_rows for x in cut(batch)), key=lambda x: x[0]):
+        signed, sets = [], {}
+        for _, part in parts:
+            bare = part.column("text").is_null()
+            signed.append(part.filter(bare).drop_columns(["text"]))
+            full = part.filter(pa.compute.invert(bare))
+            nodes = full.column("node").to_pylist()
+            for first, hashes, at in shingle_sets(full.column("text")):
+                for i, (low, high) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    sets.setdefault(nodes[first + i], []).append(hashes[low:high].copy())
+        yield pa.Table.from_batches(signed), sets
+
+
+def _joined(rows: pa.Table, sets: dict, ones: np.ndarray, twos: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the nodes at two lists of places that join components. A set is
+    compared at once with those of all its partners that are still elsewhere."""
+    nodes, components = rows["node"].to_numpy(), rows["component"].to_numpy()
+    parent = {int(c): int(c) for c in components}
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    links = []
+    order = np.argsort(ones, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(ones[order]) != 0]) if len(order) else []
+    for low, high in zip(starts, [*starts[1:], len(order)], strict=True):
+        a = int(ones[order[low]])
+        partners = [int(b) for b in twos[order[low:high]]]
+        partners = [b for b in partners if top(int(components[a])) != top(int(components[b]))]
+        for one in sets.get(int(nodes[a]), []):
+            others = [(b, two) for b in partners for two in sets.get(int(nodes[b]), []) if len(one) and len(two)]
+            for part in range(0, len(others), 256):
+                some = others[part : part + 256]
+                sizes = np.array([len(two) for _, two in some])
+                every = np.concatenate([two for _, two in some])
+                at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+                both = np.add.reduceat(one[at] == every, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+                near = 100 * both >= percent * (len(one) + sizes - both)
+                for (b, _), yes in zip(some, near, strict=True):
+                    x, y = top(int(components[a])), top(int(components[b]))
+                    if yes and x != y:
+                        parent[max(x, y)] = min(x, y)
+                        links.append((int(min(nodes[a], nodes[b])), int(max(nodes[a], nodes[b]))))
+    return links
+
+
 def _confirm(percent: int):
     """Keeps pairs whose full sets are similar enough."""
 
@@ -253,7 +345,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     firsts = named.join(
         classes.select("f1", "f2", "n_shingles", F.col("node").alias("doc_id")), ["f1", "f2", "n_shingles", "doc_id"]
-    ).select(F.col("doc_id").alias("node"), "checks", "bands")
+    ).select(F.col("doc_id").alias("node"), "n_shingles", "checks", "bands")
     firsts = scratch.save(firsts.dropDuplicates(["node", "checks"]))
     bands = firsts.select("node", F.explode("bands").alias("band"))
     shared = scratch.save(
@@ -282,22 +374,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = members.join(found, "node", "left").select(
         "band", "node", F.coalesce("component", "node").alias("component")
     )
-    # bands that still hold several components
-    split = placed.groupBy("band").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / TILE).alias("tiles")
-    )
+    # bands that still hold several components, in tiles bounded by rows and by shingles
+    weights = placed.join(scratch.save(firsts.groupBy("node").agg(F.max("n_shingles").alias("weight"))), "node")
+    split = weights.groupBy("band").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"),
+        F.ceil(F.greatest(F.count("*") / TILE, F.sum("weight") / TILE_SHINGLES)).alias("tiles"),
+    )
     tiled = placed.join(scratch.save(split.where("x < y").select("band", "tiles")), "band")
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).join(checks, "node")
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).join(firsts.select("node", "checks", "bands"), "node")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
     tiled = tiled.select("*", other).select(
         "band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-        "tile", "node", "component", "checks",
+        "tile", "node", "component", "checks", "bands",
     )
-    tiled = tiled.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    across = scratch.save(
-        tiled.mapInArrow(_across(percent / 100), pair).distinct().join(likely, ["a", "b"], "left_anti")
-    )
-    links = links.union(confirmed(across))
+    group = ["band", "low", "high"]
+    tiled = tiled.repartition(*group).sortWithinPartitions(*group)
+    paired = scratch.save(tiled.mapInArrow(_with_partner(percent / 100), tiled.schema))
+    bodies = paired.select(*group, "node").distinct().join(texts, "node").select(*group, "node", "text")
+    both = paired.withColumn("text", F.lit(None).cast("string")).unionByName(bodies, allowMissingColumns=True)
+    both = both.repartition(*group).sortWithinPartitions(*group)
+    links = links.union(scratch.save(both.mapInArrow(_forest(percent), pair).distinct()))
     found = scratch.save(components(links, scratch))
     classes = scratch.save(
         classes.join(found, "node", "left").select(

@@ -1,6 +1,7 @@
 """Near duplicates and repeated passages against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -61,15 +62,50 @@ def test_near_duplicates_of_a_hot_group_and_small_tiles(frame, monkeypatch):
 
 
 def test_a_pair_is_likely_in_a_later_band_than_bytes_suggest():
-    """All bytes of the first band agree by chance; the rows meet in the fourth only."""
+    """All bytes of the first band agree by chance; by whole keys the rows meet in the
+    fourth and the sixth, and are compared in the fourth."""
     signs = np.random.default_rng(6).integers(0, 256, (2, near_dups.SIGNATURE), dtype=np.uint8)
     signs[1, : near_dups.SIGNATURE * 4 // 5] = signs[0, : near_dups.SIGNATURE * 4 // 5]
-    for band in (1, 2, *range(4, near_dups.SIGNATURE // near_dups.BAND_ROWS)):
-        signs[1, band * near_dups.BAND_ROWS] = signs[0, band * near_dups.BAND_ROWS] + 1
-    rows = {"band": [9, 9], "low": [0, 0], "high": [0, 0], "number": [3, 3], "tile": [0, 0], "node": [5, 4], "component": [5, 4]}
-    batch = pa.RecordBatch.from_pydict(rows | {"checks": [x.tobytes() for x in signs]})
-    found = [tuple(x.values()) for b in near_dups._across(0.7)(iter([batch])) for x in b.to_pylist()]
-    assert found == [(4, 5)]
+    keys = np.arange(128, dtype=np.int64).reshape(2, 64)
+    keys[:, 3], keys[:, 5] = 900, 901
+    rows = {"low": [0, 0], "high": [0, 0], "tile": [0, 0], "node": [5, 4], "component": [5, 4]}
+    rows |= {"checks": [x.tobytes() for x in signs], "bands": [k.tolist() for k in keys]}
+    for band, wanted in ((900, [4, 5]), (901, [])):
+        batch = pa.RecordBatch.from_pydict({"band": [band, band], **rows})
+        found = [x["node"] for b in near_dups._with_partner(0.7)(iter([batch])) for x in b.to_pylist()]
+        assert sorted(found) == wanted
+
+
+def test_a_group_just_below_the_threshold(frame, monkeypatch):
+    """300 texts mutually at 0.70 to 0.74, and one at 0.76 or more to one of them: what
+    the second pass hands on grows with the rows, not with their 45,000 pairs."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(2000)]
+
+    def changed(words, n, mark):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"{mark}x{at}"
+        return words
+
+    texts = [changed(base, 32, f"d{i}") for i in range(300)]
+    texts.append(changed(texts[7], 50, "last"))
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    saved, save = [], near_dups.Scratch.save
+
+    def counted(self, df):
+        out = save(self, df)
+        saved.append((df.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dups.Scratch, "save", counted)
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(frame(rows)).collect()}
+    assert got == brute_components(rows)
+    assert got[300] == got[7]
+    links = [n for columns, n in saved if columns == ["a", "b"]]
+    assert links[-1] < 301  # the forest
+    (kept,) = [n for columns, n in saved if columns[:3] == ["band", "low", "high"]]
+    assert kept <= 64 * 301
 
 
 def test_empty_tables(empty):
