@@ -88,7 +88,7 @@ def test_a_group_just_below_the_threshold(frame, monkeypatch):
             words[at] = f"{mark}x{at}"
         return words
 
-    texts = [changed(base, 32, f"d{i}") for i in range(300)]
+    texts = [changed(base, 36, f"d{i}") for i in range(300)]
     texts.append(changed(texts[7], 50, "last"))
     rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
     saved, save = [], near_dups.Scratch.save
