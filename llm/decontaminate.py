@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.scratch import Scratch
+from llm.scratch import Scratch, quoted, struct_ddl
 from llm.words import ALPHANUMERIC, blocks, window_hashes
 
 WINDOW = 10
@@ -267,11 +267,11 @@ def find_benchmark(
     spark = docs.sparkSession
     scratch = Scratch(spark, "benchmark")
     text = F.col("text")
-    columns = [docs[c] for c in docs.columns] if carry else [F.col("doc_id").cast("long").alias("doc_id"), text]
+    columns = [F.col(quoted(c)) for c in docs.columns] if carry else [F.col("doc_id").cast("long").alias("doc_id"), text]
     rows = docs.select(
         F.struct(*columns).alias("row"), F.xxhash64(text).alias("c"), F.xxhash64(F.lit(1), text).alias("d")
     )
-    row = f"row {rows.schema['row'].dataType.simpleString()}"
+    row = struct_ddl(rows, "row")
 
     def result(settled: DataFrame) -> DataFrame:
         settled = settled.select(F.col("row")["doc_id"].cast("long").alias("doc_id"), "*")

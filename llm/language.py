@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.scratch import Scratch, small, small_batches
+from llm.scratch import Scratch, quoted, small, small_batches, struct_ddl
 from llm.words import LOWER, cuts, text_bytes
 
 # Rows the classifier is fitted on and landmarks among them, over all languages.
@@ -178,11 +178,11 @@ def identify(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFra
     small_batches(docs.sparkSession)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     doc_id = F.col("doc_id").cast("long")
-    row = F.struct(*(docs[c] for c in docs.columns)) if carry else F.struct("text")
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)) if carry else F.struct("text")
     rows = docs.select(
         doc_id.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), letter.alias("letter"), row.alias("row")
     )
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
     if carry:
-        schema += f", row {rows.schema['row'].dataType.simpleString()}"
+        schema += ", " + struct_ddl(rows, "row")
     return rows.mapInArrow(_predict(model, carry), schema)

@@ -31,6 +31,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots and the like."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def struct_ddl(df: DataFrame, column: str) -> str:
+    """A struct column with its type, for the schema of a map over rows."""
+    fields = ", ".join(f"{quoted(f.name)}: {f.dataType.simpleString()}" for f in df.schema[column].dataType.fields)
+    return f"{column} struct<{fields}>"
+
+
 class Scratch:
     """The intermediate tables of one operator call, and small Arrow batches for it."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.scratch import Scratch
+from llm.scratch import Scratch, quoted, struct_ddl
 from llm.words import BLANK_SEPARATED, Block, blocks, window_hashes, window_starts
 
 WINDOW = 50
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     if window < 2:
         raise ValueError("a window has two words at least")
     text = F.col("text")
-    columns = [docs[c] for c in docs.columns if c.lower() != "text"] if carry else [F.col("doc_id").cast("long").alias("doc_id")]
+    columns = [F.col(quoted(c)) for c in docs.columns if c.lower() != "text"] if carry else [F.col("doc_id").cast("long").alias("doc_id")]
     rows = docs.select(
         F.struct(*columns).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("k"),
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
         F.when(F.size("halves") > 0, F.col("halves")).otherwise(none).alias("halves"),
         F.when(F.size("copies") > 0, F.col("copies")).otherwise(none).alias("copies"),
     )
-    row = f"row {rows.schema['row'].dataType.simpleString()}"
+    row = struct_ddl(rows, "row")
     looked = rows.join(told, "k", "left").select("row", "k", "id", "c", "text", "halves", "copies")
     looked = scratch.save(
         looked.mapInArrow(

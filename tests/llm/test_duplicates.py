@@ -95,7 +95,8 @@ def test_a_group_just_below_the_threshold(frame, monkeypatch):
 
     def counted(self, df):
         out = save(self, df)
-        saved.append((df.columns, out.count()))
+        if df.columns == ["a", "b"] or df.columns[0] == "band":
+            saved.append((df.columns, out.count()))
         return out
 
     monkeypatch.setattr(near_dups.Scratch, "save", counted)

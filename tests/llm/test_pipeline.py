@@ -59,3 +59,17 @@ def test_an_empty_table_goes_through(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.collect() == []
+
+
+def test_repeated_rows_and_odd_column_names(spark, tmp_path):
+    """Rows with one id and text leave one; names with dots and of inner columns pass."""
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words, "a", 7), (1, words, "a", 8), (2, "une phrase de plus", "b", 9), (None, "no id", "c", 1), (None, "no id", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `lang` string, `a.b` int").selectExpr("*", "1 AS row", "2 AS `x y`")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        found = sorted((r["doc_id"] or 0, r["text"]) for r in after.collect())
+        once = [(0, "no id"), (0, "no id"), (1, words), (2, "une phrase de plus")]
+        assert found == (once if name == "near_duplicates" else sorted([*once, (1, words)])), name
