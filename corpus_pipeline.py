@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import llm
 from llm import byte_bpe, decontaminate, language, near_dups, substrings
 from llm.queries import vocabulary_file
-from llm.scratch import Scratch, small
+from llm.scratch import Scratch, quoted, small
 from stackleaf.sources.tables import read_table
 
 cloudpickle.register_pickle_by_value(llm)
@@ -31,10 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, and of rows with one ``doc_id``
+    and text one row. Different texts of one ``doc_id`` stay or go together."""
+    scratch = Scratch(spark, "dropped")
     found = near_dups.near_duplicates(docs, percent=75).where("not kept").select("doc_id").distinct()
-    gone = Scratch(spark, "dropped").save(found)
-    return docs.join(small(gone, 40), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(small(scratch.save(found), 40), "doc_id", "left_anti")
+    same = F.sha2("text", 256).alias("_text")
+    again = docs.where("doc_id is not null").groupBy("doc_id", same).count().where("count > 1").select("doc_id").distinct()
+    again = scratch.save(again)
+    if again.isEmpty():
+        return left.select(*map(F.col, map(quoted, docs.columns)))
+    again = small(again, 40)
+    repeated = left.join(again, "doc_id", "left_semi").withColumn("_text", same).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    left = left.join(again, "doc_id", "left_anti").unionByName(repeated)
+    return left.select(*map(F.col, map(quoted, docs.columns)))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
