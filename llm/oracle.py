@@ -135,8 +135,7 @@ select node conv_id, d "depth", parent parent_conv_id, n n_convs, nc n_children,
   sha256(coalesce(e, '')) ends_sha256 from full_nodes join sums using (node, d)""",
     "op11_turn_repair": _repair(),
     "op1_token_counts": rf"""
-with d as (select doc_id, source, lang, case when doc_id % 5 = 0 then string_split(text, chr(10))[1] else text end t
-           from documents where doc_id % 7 <> 0),
+with d as (select doc_id, source, lang, text t from documents),
 c as (select source, lang, v.version, case v.version when 'blank-1' then len(regexp_extract_all(coalesce(t, ''), '[^\x20\x09-\x0D]+'))
         else len(regexp_extract_all(coalesce(t, ''), '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+|[!-/:-@\[-`{{-~]')) end n
       from d, (values ('blank-1'), ('split-1')) v(version))
