@@ -4,13 +4,18 @@ Tasks get their rows as Arrow batches, and the functions here work on the byte
 buffers of the text column, without a Python object per text or word. All word
 separators in use are ASCII, so UTF-8 bytes can be cut without decoding.
 
-A word hash is a polynomial in its bytes modulo 2**64, and a window hash a
-polynomial in its word hashes, both finished by a bit mixer. With running sums
-every window of any length costs the same few operations.
+The hash of a word of up to 64 bytes is a polynomial in its bytes modulo 2**64,
+finished by a bit mixer, and made with running sums. Polynomials of that modulus
+are blind to some patterns of a thousand bytes (Thue-Morse words), so a longer
+word is hashed by BLAKE2. Window hashes are made by doubling: the hash of a run of
+2k words mixes those of its halves, and a run of any length is covered by two
+runs of a power of two. The mixer between the levels leaves no sum of terms that
+could cancel, whatever the length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +24,12 @@ import pyarrow as pa
 
 # Bytes of text handled at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 18
+# Longer words, in bytes, are hashed one by one.
+LONG_WORD = 64
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15)
-_STEP = _U64(0xD1342543DE82EF95)
+_LEFT, _RIGHT = _U64(0xD1342543DE82EF95), _U64(0xAEF17502108EF2D9)
 _random = np.random.default_rng(20240229)
 _BYTE_VALUE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * _U64(2) + _U64(1)
 
@@ -72,7 +79,7 @@ class _Powers:
         return self.up, self.down
 
 
-_byte_powers, _word_powers = _Powers(_BASE), _Powers(_STEP)
+_byte_powers = _Powers(_BASE)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +133,12 @@ class Block:
         value = _BYTE_VALUE[LOWER] if lower else _BYTE_VALUE
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum(value[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        found = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD):
+            own = self.data[self.start[i] : self.end[i]]
+            digest = hashlib.blake2b((LOWER[own] if lower else own).tobytes(), digest_size=8).digest()
+            found[i] = int.from_bytes(digest, "little")
+        return found
 
 
 def cuts(at: np.ndarray, limit: int = BLOCK_BYTES, texts: int = 1 << 30) -> Iterator[tuple[int, int]]:
@@ -168,10 +180,15 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _word_powers.get(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[length:] - sums[:n]) * down[:n] + _U64(length))
+    runs, width = words, 1
+    while 2 * width <= length:
+        runs = _joined(runs[: len(runs) - width], runs[width:], width)
+        width *= 2
+    return _joined(runs[:n], runs[length - width :][:n], length)
+
+
+def _joined(left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    return mix(mix(left * _LEFT + _U64(length)) + right * _RIGHT)
 
 
 def window_starts(at: np.ndarray, length: int) -> np.ndarray:

@@ -23,9 +23,15 @@ def frame(spark):
     return make
 
 
+def thue_morse(size):
+    """Two words of ``size`` letters that a polynomial modulo 2**64 can't tell apart from 1,024 on."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.fixture(scope="session")
 def corpus():
-    """Texts with copies, near copies, shared passages, odd blanks, nulls and a long one."""
+    """Texts with copies, near copies, shared passages, odd blanks, nulls, long words and a long text."""
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
 
@@ -46,6 +52,10 @@ def corpus():
         rows.append((i, "\n".join(own) if i % 2 else " ".join(own).title()))
     rows += [(60 + i, rows[7][1]) for i in range(5)]
     rows += [(70, None), (71, ""), (72, " \t\n "), (73, "one two"), (74, "ONE two"), (75, "é è \x0b ü"), (76, "a b a b a b " * 3000)]
+    for i, size in ((90, 1024), (92, 4096)):
+        one, two = thue_morse(size)
+        rows += [(i, f"{one} plain " * 30), (i + 1, f"{two} plain " * 30)]
+    rows += [(94, "{0} x y {1} x y".format(*thue_morse(1024)))]
     rows += [(77, " ".join(words(4000) + passage)), (None, rows[0][1]), (None, "lonely words without any id"), (3, rows[3][1])]
     return rows
 

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from llm import near_dups, substrings, words
+from tests.llm.conftest import thue_morse
 
 BLANK = r"[^\x20\x09-\x0D]+"
 
@@ -177,6 +178,17 @@ def test_word_and_window_hashes_tell_sequences_apart(texts, length):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_words_and_long_windows_have_their_own_hashes():
+    for size in (512, 1024, 2048, 4096):
+        one, two = thue_morse(size)
+        (block,) = words.blocks(pa.array([f"{one} {two} {one.upper()}"]), words.BLANK_SEPARATED)
+        a, b, c = block.hashes(lower=True)
+        assert a != b and a == c
+        spread = pa.array([" ".join(one), " ".join(two), " ".join(one)])
+        found = [words.window_hashes(x.hashes()[i * size : (i + 1) * size], size)[0] for x in words.blocks(spread, words.BLANK_SEPARATED) for i in range(3)]
+        assert found[0] == found[2] != found[1]
+
+
 def test_choose_takes_the_first_smallest():
     rng = np.random.default_rng(2)
     hashes = rng.integers(0, 9, 200, dtype=np.uint64)

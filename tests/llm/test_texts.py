@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from llm import byte_bpe, chat, decontaminate, language, licenses, lm_score, outliers
 from llm.queries import vocabulary_file
 from llm.token_counts import TokenTotals, counted
+from tests.llm.conftest import thue_morse
 
 
 def item_words(text):
@@ -23,6 +24,7 @@ def item_words(text):
 def test_benchmark_equals_brute_force(spark, frame, corpus):
     items = [(1, "No such Words"), (2, corpus[3][1]), (10, "ONE, two!"), (11, None), (12, " ... "), (None, corpus[8][1]), (13, corpus[8][1])]
     items.append((14, " ".join(corpus[77 - 10][1].split()[:5]) if corpus[67][1] else "x"))
+    items.append((15, f"{thue_morse(1024)[0]} plain " * 5))
     bench = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, item int")
     want = []
     for doc, text in corpus:
