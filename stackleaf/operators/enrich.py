@@ -15,11 +15,13 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackleaf.functions import replies
 from stackleaf.functions.text import BLANK_CLASS, strip
+from stackleaf.sources.reply_store import ReplyStore
+from stackleaf.sources.tables import work_folder
 
 # Calls in flight per task, reply limits, waits between tries.
 IN_FLIGHT = 5
@@ -102,31 +104,31 @@ def call_once(
     udf,
     saved: str | None = None,
     rows_per_task: int = 1000,
+    kind: str = "string",
 ) -> DataFrame:
     """``key, reply, error`` for each distinct key. With ``saved`` (a folder of
     the corpus), keys already answered there are not sent again, new replies
-    are added to it first, and the result is read from it. The calls are dealt
-    out in tasks of about ``rows_per_task``, which is what one lost task can
-    cost."""
-    spark = inputs.sparkSession
-    todo = inputs.select(key, text).dropDuplicates([key])
+    are added to it first, and the result is read from it; ``inputs`` should be
+    cheap to read again. The calls are dealt out in tasks of about
+    ``rows_per_task``, which is what one lost task can cost."""
     if saved is None:
+        todo = inputs.select(key, text).dropDuplicates([key])
         return todo.withColumn("_r", udf(F.col(text))).select(key, "_r.reply", "_r.error")
-    schema = f"{key} {inputs.schema[key].dataType.simpleString()}, reply string, error string"
-    spark.createDataFrame([], schema).write.mode("append").parquet(saved)
-    answered = spark.read.schema(schema).parquet(saved).where(F.col("error").isNull())
-    missing = todo.join(answered.select(key), key, "left_anti")
-    tasks = -(-missing.select(key).count() // rows_per_task)
-    fresh = (
-        missing.repartition(max(tasks, 1), key)
-        .withColumn("_r", udf(F.col(text)))
-        .select(key, "_r.reply", "_r.error")
-    )
-    fresh.write.mode("append").parquet(saved)
-    everything = spark.read.schema(schema).parquet(saved)
-    return everything.groupBy(key).agg(
-        F.max("reply").alias("reply"), F.max("error").alias("error")
-    ).withColumn("error", F.when(F.col("reply").isNull(), F.col("error")))
+    wanted = inputs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = ReplyStore(inputs.sparkSession, saved, kind).complete(wanted, udf, rows_per_task)
+    return found.withColumnRenamed("key", key)
+
+
+def _text_id(*parts: Column | str) -> Column:
+    """Key of a call: the digest of all that decides its reply. A null stands apart."""
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the working folder and read back, so that it is made once."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def summarize(
@@ -144,12 +146,13 @@ def summarize(
             "summary_error", F.lit(None).cast("string")
         )
     udf = reply_udf(make_client, SUMMARY_SYSTEM, max_tokens, form=SUMMARY_FORM, **options)
-    known = call_once(
-        chunks.withColumn("_text_id", F.sha2("text", 256)), "_text_id", "text", udf, saved
-    )
+    asked = [F.lit(SUMMARY_SYSTEM).alias("system"), F.lit(max_tokens).alias("most"), "text"]
+    keyed = chunks.withColumn("_text_id", _text_id(*asked))
+    if saved is not None:
+        keyed = _kept(keyed, "summarise")
+    known = call_once(keyed, "_text_id", "text", udf, saved)
     return (
-        chunks.withColumn("_text_id", F.sha2("text", 256))
-        .join(known, "_text_id", "left")
+        keyed.join(known, "_text_id", "left")
         .withColumn("summary", replies.summary_or_fallback(F.col("reply"), F.col("text")))
         .withColumnRenamed("error", "summary_error")
         .drop("_text_id", "reply")
@@ -161,21 +164,35 @@ def answer(
     make_client: Callable[[], Client],
     system: str,
     max_tokens: int = ANSWER_TOKENS,
+    saved: str | None = None,
     **options,
 ) -> DataFrame:
-    """``query_id, answer, error`` for each prompt."""
+    """``query_id, answer, error`` for each prompt. With ``saved`` (a folder for one
+    model), equal prompts are sent once and answered from there later."""
     udf = reply_udf(make_client, system, max_tokens, **options)
-    return prompts.withColumn("_r", udf(F.col("prompt"))).select(
-        "query_id", F.col("_r.reply").alias("answer"), F.col("_r.error").alias("error")
-    )
+    if saved is None:
+        answered = prompts.withColumn("_r", udf(F.col("prompt"))).select("query_id", "_r.reply", "_r.error")
+    else:
+        asked = [F.lit(system).alias("system"), F.lit(max_tokens).alias("most"), "prompt"]
+        keyed = _kept(prompts.select("query_id", "prompt", _text_id(*asked).alias("_text_id")), "prompts")
+        known = call_once(keyed, "_text_id", "prompt", udf, saved)
+        answered = keyed.join(known, "_text_id", "left")
+    return answered.select("query_id", F.col("reply").alias("answer"), "error")
 
 
 def embed(
-    df: DataFrame, make_embedder, text: str = "enriched_text", out: str = "embedding", once: bool = True
+    df: DataFrame,
+    make_embedder,
+    text: str = "enriched_text",
+    out: str = "embedding",
+    once: bool = True,
+    saved: str | None = None,
 ) -> DataFrame:
     """Add a vector made by a user's ``list[str] -> list[vector]``, made once
     per task and called per Arrow batch. With ``once``, equal texts are
-    embedded a single time and the vector is joined back."""
+    embedded a single time and the vector is joined back. With ``saved`` (a folder
+    for one model), vectors are kept there and texts known there are not embedded
+    again."""
 
     def run(batches):
         vectors = make_embedder()
@@ -183,7 +200,16 @@ def embed(
             yield pd.Series([list(map(float, v)) for v in vectors(texts.tolist())])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    vector = F.pandas_udf(run, "array<float>")(F.col(text))
+    embedder = F.pandas_udf(run, "array<float>")
+    if saved is not None:
+        keyed = _kept(df.withColumn("_text_id", _text_id(F.col(text).alias("text"))), "embed")
+
+        def reply(column: Column) -> Column:
+            return F.struct(embedder(column).alias("reply"), F.lit(None).cast("string").alias("error"))
+
+        known = call_once(keyed, "_text_id", text, reply, saved, kind="array<float>")
+        return keyed.join(known.select("_text_id", F.col("reply").alias(out)), "_text_id", "left").drop("_text_id")
+    vector = embedder(F.col(text))
     if not once:
         return df.withColumn(out, vector)
     keyed = df.withColumn("_text_id", F.sha2(text, 256))

@@ -95,7 +95,8 @@ class Answering:
         return rt.cite_hits(rt.attach_stored(hits, self._stored(), CITED, questions.count() * self.k))
 
     def ask(self, questions: DataFrame, make_client: Callable, system: str = prompts.SYSTEM, **options) -> DataFrame:
-        """``query_id, answer, error`` for ``questions(query_id, question)``."""
+        """``query_id, answer, error`` for ``questions(query_id, question)``. With
+        ``saved=corpus.replies(model)`` a prompt asked before is answered from there."""
         asked = embedded(questions, self.make_embedder, self.dims)
         results = prompts.format_hits(self.results(self.hits(asked), asked))
         built = prompts.build_prompts(asked.select("query_id", "question"), results)

@@ -38,6 +38,7 @@ class Ingest:
     separator: str = r"\n\n+"
     counter: tx.Counter | None = None
     make_client: Callable | None = None
+    summary_tokens: int = enrich.SUMMARY_TOKENS
     make_embedder: Callable | None = None
     dims: int = 256
     index: IndexSettings | None = None
@@ -115,7 +116,13 @@ class Ingest:
             )
             good = good.join(small_side(surplus), pick, "left_anti")
         corpus.write_chunks(
-            self.chunks(good, config, corpus.replies(self.settings.summary_model)), batch_id
+            self.chunks(
+                good,
+                config,
+                corpus.replies(self.settings.summary_model),
+                corpus.replies(self.settings.embed_model, "vectors"),
+            ),
+            batch_id,
         )
 
         written = corpus.all_chunks().where(
@@ -170,9 +177,12 @@ class Ingest:
         chosen = wanted.withColumnRenamed("source_path", "path")
         return hashed.join(small_side(chosen), ["path", "content_hash"], "left_semi")
 
-    def chunks(self, parsed: DataFrame, config: str, replies: str | None = None) -> DataFrame:
+    def chunks(
+        self, parsed: DataFrame, config: str, replies: str | None = None, vectors: str | None = None
+    ) -> DataFrame:
         """Chunk, summarise and embed parsed documents; stored form. Replies of
-        a summary client are kept in the folder ``replies``."""
+        a summary client are kept in the folder ``replies``, vectors of an
+        embedder in the folder ``vectors``."""
         keep = ["content_hash", "filename"]
         if self.settings.chunker == "docling":
             structured = parsed.withColumn(
@@ -198,8 +208,8 @@ class Ingest:
                     distinct=True,
                 )
             )
-        summed = enrich.summarize(made, self.make_client, replies)
+        summed = enrich.summarize(made, self.make_client, replies, self.summary_tokens)
         records = chunk_records(summed, config)
         if self.make_embedder is not None:
-            return enrich.embed(records, self.make_embedder)
+            return enrich.embed(records, self.make_embedder, saved=vectors)
         return enrich.hashing_embed(records, self.dims)

@@ -11,6 +11,7 @@ One writer at a time: plain Parquet has no concurrent commit.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Sequence
 
@@ -52,9 +53,12 @@ class Corpus:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def replies(self, model: str) -> str:
-        """Folder of saved replies of one model."""
-        return self._path("replies/" + re.sub(r"[^A-Za-z0-9._-]", "_", model))
+    def replies(self, model: str, use: str = "replies") -> str:
+        """Folder of saved replies of one model (``use``: ``replies`` or ``vectors``)."""
+        plain = re.sub(r"[^A-Za-z0-9._-]", "_", model)
+        if plain != model:
+            plain += "-" + hashlib.sha256(model.encode()).hexdigest()[:8]
+        return self._path(f"{use}/{plain}")
 
     def index(self, config: str) -> VectorIndex:
         """The stored vector index of one generation; ``exists`` tells if there is one."""

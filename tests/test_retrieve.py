@@ -1,5 +1,6 @@
 """Exact and approximate search, prompts, model calls."""
 
+import hashlib
 import random
 import time
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from stackleaf.operators import ann, enrich, prompts
 from stackleaf.operators import retrieve as rt
 from stackleaf.plans import ask as ask_plan
+from stackleaf.sources import reply_store
 
 
 def vectors(spark, n, dims, seed, prefix="c", parts=5):
@@ -337,3 +339,68 @@ def test_many_candidates_and_pushed_default_filter(spark, tmp_path):
     plan = rt.top_k_prefiltered(spark.read.parquet(str(tmp_path / "c")), questions_of(spark, data, 2))
     text = plan._jdf.queryExecution().toString()
     assert "Not(EqualTo(headings,Contents))" in text
+
+
+def test_reply_store_merges_runs(spark, tmp_path, monkeypatch):
+    """Runs stay few, what is read are the partitions of the wanted keys, and a version
+    that was never named does not count."""
+    monkeypatch.setattr(reply_store, "PART_ROWS", 5)
+    kept = reply_store.ReplyStore(spark, str(tmp_path / "r"), fan=2)
+    keyed = lambda texts: spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), t) for t in texts], "key string, text string")
+    upper = lambda c: F.struct(F.when(c != "bad", F.upper(c)).alias("reply"), F.when(c == "bad", F.lit("no")).alias("error"))
+    read = lambda df: {r.key: (r.reply, r.error) for r in df.collect()}
+    want = {}
+    for i in range(7):
+        texts = [f"t{i}-{j}" for j in range(12)] + ["bad", "t0-0"]
+        got = read(kept.complete(keyed(texts), upper, 4, wave_rows=20))
+        new = {hashlib.sha256(t.encode()).hexdigest(): (t.upper(), None) if t != "bad" else (None, "no") for t in texts}
+        assert got == new
+        want |= new
+        if i == 4:
+            # a run that was written and not named, as after a fault
+            kept._write(spark.createDataFrame([("ff", "x", None)], kept.schema), 0)
+    every = spark.createDataFrame([(k,) for k in [*want, "ff"]], "key string")
+    assert read(kept.known(every)) == want
+    _, runs = kept.runs()
+    assert sorted(level for _, level, _ in runs) == [0, 1, 2]
+    one = kept.known(keyed(["t3-1"]))
+    scans = one._jdf.queryExecution().executedPlan().toString().split("FileScan parquet [key")[1:]
+    assert len(scans) == len(runs) and all("PartitionFilters: [part" in x for x in scans)
+    assert [r.reply for r in one.collect()] == ["T3-1"]
+
+
+def test_answers_and_vectors_are_kept(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def note(texts):
+        for text in texts:
+            (log / f"{time.time_ns()}-{random.random()}").write_text(text)
+
+    def make_client():
+        class Client:
+            def complete(self, system, user, max_tokens):
+                note([user])
+                return system + user
+
+        return Client()
+
+    def make_embedder():
+        def run(texts):
+            note(texts)
+            return [[len(t)] for t in texts]
+
+        return run
+
+    asked = spark.createDataFrame([(1, "p"), (2, "q"), (3, "p"), (4, None)], "query_id int, prompt string")
+    for _ in range(2):
+        got = {r.query_id: (r.answer, r.error) for r in enrich.answer(asked, make_client, "s:", saved=str(tmp_path / "a")).collect()}
+        assert got == {1: ("s:p", None), 2: ("s:q", None), 3: ("s:p", None), 4: (None, "no text")}
+    assert sorted(p.read_text() for p in log.iterdir()) == ["p", "q"]
+    # another instruction is another question
+    assert enrich.answer(asked.where("query_id = 1"), make_client, "t:", saved=str(tmp_path / "a")).first().answer == "t:p"
+    rows = spark.createDataFrame([(1, "xx"), (2, "yyy"), (3, "xx")], "i int, enriched_text string")
+    for _ in range(2):
+        made = enrich.embed(rows, make_embedder, saved=str(tmp_path / "v")).collect()
+        assert sorted((r.i, list(r.embedding)) for r in made) == [(1, [2.0]), (2, [3.0]), (3, [2.0])]
+    assert sorted(p.read_text() for p in log.iterdir()) == ["p", "p", "q", "xx", "yyy"]
