@@ -488,4 +488,12 @@ ORACLE: dict[str, str] = {
         || 'Passages:' || chr(10) || coalesce(results, '')) AS answer FROM asked LEFT JOIN results USING (query_id)""",
     "delete_document": f"""WITH {_TEXTS} SELECT filename, content_hash,
       CASE WHEN substr(filename, 2)::BIGINT % 7 = 0 THEN 'deleted' ELSE 'live' END AS state FROM distinct_texts""",
+    "compact_in_place": f"""WITH {_TEXTS}, left_ AS (SELECT * FROM distinct_texts WHERE substr(filename, 2)::BIGINT % 7 <> 0)
+      SELECT reader, filename, content_hash FROM left_, (VALUES ('opened'), ('after'), ('stored')) r(reader)
+      UNION ALL SELECT 'before', filename, content_hash FROM distinct_texts""",
+    "ledger_two_writers": f"""WITH {ARRIVALS}, told AS (SELECT filename, content_hash,
+      CASE WHEN content_hash IN (SELECT content_hash FROM live0)
+        OR row_number() OVER (PARTITION BY content_hash ORDER BY filename) > 1 THEN 'conflict' ELSE 'insert' END AS outcome FROM inc)
+      SELECT * FROM told UNION ALL SELECT filename, content_hash, 'entry' FROM told WHERE outcome = 'insert'
+      UNION ALL SELECT filename, content_hash, 'entry' FROM live0""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from stackleaf.plans.ask import Answering, embedded
 from stackleaf.plans.ingest import Ingest
 from stackleaf.sources import files as fl
 from stackleaf.sources import store
+from stackleaf.sources.snapshots import SharedLedger
 from stackleaf.sources.tables import read_table, work_folder
 from stackleaf.sources.vector_index import IndexSettings, VectorIndex
 
@@ -872,3 +874,33 @@ def delete_document(spark, sf):
     gone = corpus.delete_documents(names, 2).select("filename", "content_hash", F.lit("deleted").alias("state"))
     left = corpus.chunks(fx.CONFIG).select("filename", "content_hash", F.lit("live").alias("state"))
     return gone.unionByName(left)
+
+
+@query
+def compact_in_place(spark, sf):
+    """Every seventh document is deleted, then the corpus is packed in place: what a
+    reader sees that had opened it before, what one sees now, and all that is stored."""
+    corpus = _document_corpus(spark, sf, "compact-in-place")
+    names = fx.documents(spark, sf).where("doc_id % 7 = 0").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename"))
+    before = corpus.chunks(fx.CONFIG)
+    corpus.compact()
+    corpus.delete_documents(names, 2)
+    opened = corpus.chunks(fx.CONFIG)
+    corpus.compact()
+    sides = (("before", before), ("opened", opened), ("after", corpus.chunks(fx.CONFIG)), ("stored", corpus.all_chunks()))
+    picked = [side.select(F.lit(name).alias("reader"), "filename", "content_hash") for name, side in sides]
+    return reduce(DataFrame.unionByName, picked)
+
+
+@query
+def ledger_two_writers(spark, sf):
+    """Two writers open an empty ledger; the second one to write decides again."""
+    live, incoming = fx.ledger_sides(spark, sf)
+    columns = ["filename", *lg.KEY]
+    shared = SharedLedger(spark, work_folder(spark, "shared-ledger"), ", ".join(f"{c} string" for c in columns))
+    seen = shared.table.latest()
+    shared.put(live.select(columns), seen)
+    fresh, conflicts = shared.put(incoming.select(columns), seen)
+    outcomes = [rows.select("filename", "content_hash", F.lit(x).alias("outcome")) for rows, x in
+                ((fresh, "insert"), (conflicts, "conflict"), (shared.entries(), "entry"))]
+    return reduce(DataFrame.unionByName, outcomes)

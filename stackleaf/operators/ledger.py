@@ -62,12 +62,13 @@ def lookup(wanted: DataFrame, live: DataFrame) -> DataFrame:
 
 def insert_new(live: DataFrame, entries_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Insert-if-absent: (entries to append, conflicting entries). Of several
-    entries with one key the first by filename is inserted, if any."""
-    known = live.select(*KEY).distinct().withColumn("_known", F.lit(True))
-    order = Window.partitionBy(*KEY).orderBy("filename")
-    told = entries_.join(known, KEY, "left").withColumn("_n", F.row_number().over(order))
-    new = F.col("_known").isNull() & (F.col("_n") == 1)
-    return told.where(new).select(entries_.columns), told.where(~new).select(entries_.columns)
+    entries with one key the first by filename is inserted, if any, ties going by
+    the other columns. What is not inserted is found by whole rows, so
+    a key with very many entries is spread over tasks here too."""
+    unknown = entries_.join(live.select(*KEY).distinct(), KEY, "left_anti").select(entries_.columns)
+    others = [c for c in entries_.columns if c not in (*KEY, "filename")]
+    new = _first(unknown, KEY, F.asc("filename"), *map(F.asc, others))
+    return new, entries_.exceptAll(new)
 
 
 def find_superseded(live: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -125,9 +125,7 @@ class Ingest:
             batch_id,
         )
 
-        written = corpus.all_chunks().where(
-            (F.col("batch_id") == batch_id) & (F.col("pipeline_config_hash") == config)
-        )
+        written = corpus.batch_chunks(config, batch_id)
         if self.index is not None:
             self._indexed(corpus, config, written)
         counts = written.groupBy("content_hash").agg(

@@ -6,7 +6,11 @@ so a replay leaves the same rows. Chunks are written before the ledger; readers
 keep the chunks whose document version is live, so one append to the ledger
 switches all documents of the batch from the old version to the new.
 
-One writer at a time: plain Parquet has no concurrent commit.
+One writer at a time: plain Parquet has no concurrent commit (``snapshots`` has one).
+
+``compact`` moves the chunks of finished batches into ``packed/``, a table kept as
+versions, without dead rows and in files of a proper size. One version file
+switches readers over; those at work keep the version they opened.
 """
 
 from __future__ import annotations
@@ -15,12 +19,13 @@ import hashlib
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackleaf.functions import keys
 from stackleaf.operators import ledger as lg
 from stackleaf.sources.files import BLOCKS
+from stackleaf.sources.snapshots import Versioned
 from stackleaf.sources.tables import MAX_BROADCAST_ROWS, small_side
 from stackleaf.sources.vector_index import VectorIndex
 
@@ -42,6 +47,9 @@ CHUNK_SCHEMA = (
     "pipeline_config_hash string, batch_id bigint"
 )
 
+# Size of the files that compaction makes; files below half of it are packed again.
+PACKED_BYTES = 256 << 20
+
 
 class Corpus:
     """Paths of one corpus, with readers and writers for its tables."""
@@ -170,22 +178,103 @@ class Corpus:
 
     def all_chunks(self) -> DataFrame:
         """Every stored chunk, live or not, of all generations; ``file`` names
-        the file it is in (known without reading, so it can skip files)."""
+        the file it is in (known without reading, so it can skip files). Packed
+        chunks, and of the batches those that are not packed yet."""
+        packed = self._packed()
+        version = packed.latest()
+        stored = self._stored_chunks()
+        if not version:
+            return stored
+        return packed.read(version).unionByName(stored.where(self._unpacked(packed.notes(version))))
+
+    def batch_chunks(self, config: str, batch_id: int) -> DataFrame:
+        """The chunks that one batch wrote, packed since or not."""
+        mine = (F.col("batch_id") == batch_id) & (F.col("pipeline_config_hash") == config)
+        return self._stored_chunks().where(mine)
+
+    def _stored_chunks(self) -> DataFrame:
         stored = self.spark.read.schema(CHUNK_SCHEMA).parquet(self._path("chunks"))
         return stored.select("*", F.col("_metadata.file_path").alias("file"))
 
+    def _packed(self) -> Versioned:
+        return Versioned(self.spark, self._path("packed"), CHUNK_SCHEMA, ["pipeline_config_hash"])
+
+    @staticmethod
+    def _unpacked(notes: dict) -> Column:
+        return (F.col("batch_id") > notes["upto"]) | F.col("batch_id").isin(notes["open"])
+
+    def compact(self, file_bytes: int = PACKED_BYTES) -> int:
+        """Pack the chunks of all finished batches in place; the version made, or the
+        current one if there is nothing to do.
+
+        Written anew are chunks of batches that were not packed yet, files that hold
+        a chunk of a dead document version, and files of less than half of
+        ``file_bytes``; all other files go over into the new version as they are.
+        Which files hold dead chunks is found by one scan of the keys, and no chunk
+        is shuffled. Batches without an entry in the ledger are not finished and stay
+        where they are. Batches may run, and runs may be repeated, at any time; of two
+        compactions at once one gives way.
+        """
+        packed = self._packed()
+        base = packed.latest()
+        notes = packed.notes(base) or {"upto": -1, "open": []}
+        ledger = self._ledger()
+        numbers = {r.batch_id for r in ledger.select("batch_id").distinct().collect()}
+        if not numbers:
+            return base
+        upto = max(numbers)
+        new = self._stored_chunks().where(self._unpacked(notes) & (F.col("batch_id") <= upto))
+        there = {r.batch_id for r in new.select("batch_id").distinct().collect()}
+        events = self.events(upto + 1)
+        key = [*lg.KEY, "batch_id"]
+        dead = small_side(self._dead(events).select(*key))
+        known = packed.manifest(base)
+        holding = packed.read(base).join(dead, key, "left_semi").select(packed._relative(F.col("file")).alias("path"))
+        small = known.where(F.col("bytes") < file_bytes // 2).select("path")
+        # names of files, of which the manifest is a list
+        again = {r.path for r in holding.distinct().collect()}
+        little = {r.path for r in small.collect()}
+        finished = there & numbers
+        if len(little) > 1 or finished:
+            again |= little
+        if not again and not finished:
+            return base
+        chosen = self.spark.createDataFrame([(p,) for p in sorted(again)], "path string")
+        old = packed._rows(known.join(chosen, "path", "left_semi"))
+        rows = old.unionByName(new.where(F.col("batch_id").isin(*finished) if finished else F.lit(False)))
+        alive = rows.join(dead, key, "left_anti").drop("file")
+        size = known.join(chosen, "path", "left_semi").agg(F.sum("bytes")).first()[0] or 0
+        size += self._stored_bytes(finished)
+        added = packed.write(alive.coalesce(max(1, -(-size // file_bytes))))
+        files = known.join(chosen, "path", "left_anti").unionByName(added)
+        after = {"upto": upto, "open": sorted(there - finished)}
+        if packed.commit(base, files, after):
+            return base + 1
+        return packed.latest()
+
+    def _stored_bytes(self, batches: set[int]) -> int:
+        """Bytes of the files of some batches; file contents are not read."""
+        if not batches:
+            return 0
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+        files = files.load(self._path("chunks")).where(F.col("batch_id").isin(*batches))
+        return files.agg(F.sum("length")).first()[0] or 0
+
+    def _dead(self, events: DataFrame) -> DataFrame:
+        """Document versions, by the batch that made them, that are no longer live."""
+        key = [*lg.KEY, "batch_id"]
+        made = events.where(F.col("op") == "register").select(*lg.KEY, F.floor(F.col("seq") / 2).alias("batch_id"))
+        live = lg.current(events).select(*lg.KEY, F.floor(F.col("seq") / 2).alias("batch_id"))
+        return made.join(live, key, "left_anti").distinct()
+
     def _visible(self, chunks: DataFrame, events: DataFrame) -> DataFrame:
         """Chunks of finished batches, less the document versions that are no
         longer live. The table of dead versions only holds what changed since
         the last compaction, so it stays far smaller than the table of live
         ones, and the chunks are scanned without a shuffle."""
         key = [*lg.KEY, "batch_id"]
-        made = events.where(F.col("op") == "register").select(
-            *lg.KEY, F.floor(F.col("seq") / 2).alias("batch_id")
-        )
-        live = lg.current(events).select(*lg.KEY, F.floor(F.col("seq") / 2).alias("batch_id"))
-        dead = made.join(live, key, "left_anti").distinct()
-        done = made.select("batch_id").distinct()
+        dead = self._dead(events)
+        done = events.where(F.col("op") == "register").select(F.floor(F.col("seq") / 2).alias("batch_id")).distinct()
         return chunks.join(small_side(done), "batch_id", "left_semi").join(
             small_side(dead), key, "left_anti"
         )
