@@ -264,6 +264,14 @@ def _every_twentieth(named: bool) -> str:
 
 _RECALLED = "SELECT count(*) FILTER (vec_id % 20 = 0) * least(10, count(*)) AS wanted, true AS recall_reached FROM embeddings"
 _LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (len(lower({0})) - len(replace(lower({0}), c, '')))::DOUBLE)"
+_INGESTED = f"""WITH RECURSIVE {ARRIVALS}, {PACKED},
+      one AS (SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1)
+      SELECT filename, content_hash, {_CHUNK12} AS chunk_id, max(chunk_index) AS chunk_index, max(total_chunks) AS total_chunks
+      FROM live JOIN one USING (content_hash) JOIN packed USING (doc_id) GROUP BY filename, content_hash, chunk_id"""
+_LIVE_COUNTS = f"""WITH RECURSIVE {ARRIVALS}, {PACKED},
+      one AS (SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1)
+      SELECT filename, content_hash, coalesce(max(total_chunks), 0)::INTEGER AS chunk_count
+      FROM live JOIN one USING (content_hash) LEFT JOIN packed USING (doc_id) GROUP BY filename, content_hash"""
 _TEXTS = f"""distinct_texts AS MATERIALIZED (
   SELECT sha256(text) AS content_hash, 'f' || min(doc_id) AS filename, any_value(text) AS text
   FROM documents WHERE text IS NOT NULL GROUP BY sha256(text))"""
@@ -427,14 +435,8 @@ ORACLE: dict[str, str] = {
     "compact_chunks": f"""WITH RECURSIVE {ARRIVALS}, {PACKED}
       SELECT doc_id, chunk_index, {_CHUNK12} AS chunk_id FROM packed
       WHERE doc_id IN (SELECT doc_id FROM documents WHERE sha256(text) IN (SELECT content_hash FROM live))""",
-    "ingest_batch": f"""WITH RECURSIVE {ARRIVALS}, {PACKED},
-      one AS (SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1)
-      SELECT filename, content_hash, {_CHUNK12} AS chunk_id, max(chunk_index) AS chunk_index, max(total_chunks) AS total_chunks
-      FROM live JOIN one USING (content_hash) JOIN packed USING (doc_id) GROUP BY filename, content_hash, chunk_id""",
-    "stream_ingest": f"""WITH RECURSIVE {ARRIVALS}, {PACKED},
-      one AS (SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1)
-      SELECT filename, content_hash, coalesce(max(total_chunks), 0)::INTEGER AS chunk_count
-      FROM live JOIN one USING (content_hash) LEFT JOIN packed USING (doc_id) GROUP BY filename, content_hash""",
+    "ingest_batch": _INGESTED,
+    "stream_ingest": _LIVE_COUNTS,
     "summarize_default": f"""WITH RECURSIVE {PACKED}
       SELECT doc_id, chunk_index, array_to_string(list_slice({_sentences('text')}, 1, 2), ' ') AS summary FROM packed""",
     "summarize_client": f"""WITH RECURSIVE {PACKED}
@@ -496,4 +498,6 @@ ORACLE: dict[str, str] = {
         OR row_number() OVER (PARTITION BY content_hash ORDER BY filename) > 1 THEN 'conflict' ELSE 'insert' END AS outcome FROM inc)
       SELECT * FROM told UNION ALL SELECT filename, content_hash, 'entry' FROM told WHERE outcome = 'insert'
       UNION ALL SELECT filename, content_hash, 'entry' FROM live0""",
+    "rechunk_generation": _INGESTED,
+    "follow_folder": _LIVE_COUNTS,
 }

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackleaf.catalog import fixtures as fx
@@ -19,6 +19,7 @@ from stackleaf.operators import retrieve as rt
 from stackleaf.plans import settings as st
 from stackleaf.plans.ask import Answering, embedded
 from stackleaf.plans.ingest import Ingest
+from stackleaf.plans.rechunk import rechunk
 from stackleaf.sources import files as fl
 from stackleaf.sources import store
 from stackleaf.sources.snapshots import SharedLedger
@@ -888,8 +889,9 @@ def compact_in_place(spark, sf):
     opened = corpus.chunks(fx.CONFIG)
     corpus.compact()
     sides = (("before", before), ("opened", opened), ("after", corpus.chunks(fx.CONFIG)), ("stored", corpus.all_chunks()))
+    # each read by a job of its own, after both compactions
     picked = [side.select(F.lit(name).alias("reader"), "filename", "content_hash") for name, side in sides]
-    return reduce(DataFrame.unionByName, picked)
+    return reduce(DataFrame.unionByName, [fx.saved(side, "reader") for side in picked])
 
 
 @query
@@ -904,3 +906,44 @@ def ledger_two_writers(spark, sf):
     outcomes = [rows.select("filename", "content_hash", F.lit(x).alias("outcome")) for rows, x in
                 ((fresh, "insert"), (conflicts, "conflict"), (shared.entries(), "entry"))]
     return reduce(DataFrame.unionByName, outcomes)
+
+
+@query
+def rechunk_generation(spark, sf):
+    """Documents ingested with short chunks, then chunked again from their saved
+    parses: the searchable chunks of the new generation."""
+    corpus = store.Corpus(spark, work_folder(spark, "rechunk")).create()
+    short = Ingest(settings=st.Settings(chunker="plain", chunk_max_tokens=fx.CAP // 2), separator=fx.LINES, dims=64)
+    arrivals = fx.arrivals(spark, sf)
+    for number, side in enumerate(("current", "incoming"), start=1):
+        short.run(corpus, _as_files(arrivals.where(F.col("side") == side)), number)
+    rechunk(corpus, short.settings.fingerprint(), _plain_ingest(), 10, batch_documents=100_000)
+    return corpus.chunks(corpus.active()).select(*_CHUNK_KEYS)
+
+
+@query
+def follow_folder(spark, sf):
+    """Files are there, the follower catches up; then files come and others are edited
+    in place, and it takes only those."""
+    from stackleaf.streaming import watch
+
+    root = work_folder(spark, "follow")
+    corpus = store.Corpus(spark, f"{root}/corpus").create()
+    # a folder as a table: a file edited in place is its row of the second round
+    files = fx.saved(fx.arrivals(spark, sf).select(
+        F.concat(F.lit("/lake/"), "filename").alias("path"), F.timestamp_seconds("seq").alias("modificationTime"),
+        F.length(F.col("text").cast("binary")).cast("bigint").alias("length"), F.col("text").cast("binary").alias("content"), "seq", "side",
+    ), "folder")
+    there = ["current"]
+
+    def listed():
+        newest = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))
+        return files.where(F.col("side").isin(there)).withColumn("_n", newest).where("_n = 1").drop("_n", "side")
+
+    follower = watch.Follower(
+        corpus, _plain_ingest(), f"{root}/state", listed=listed, opened=lambda paths: listed().where(F.col("path").isin(paths)),
+    )
+    follower.catch_up()
+    there.append("incoming")
+    follower.catch_up()
+    return lg.current(corpus.events()).select("filename", "content_hash", "chunk_count")

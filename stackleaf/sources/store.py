@@ -10,13 +10,17 @@ One writer at a time: plain Parquet has no concurrent commit (``snapshots`` has
 
 ``compact`` moves the chunks of finished batches into ``packed/``, a table kept as
 versions, without dead rows and in files of a proper size. One version file
-switches readers over; those at work keep the version they opened.
+switches readers over; those at work keep the version they opened. Views that were
+opened at different times belong in different jobs: within one, Spark takes scans
+of one folder for the same scan.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from stackleaf.functions import keys
 from stackleaf.operators import ledger as lg
 from stackleaf.sources.files import BLOCKS
+from stackleaf.sources.folders import claim, names, text_of
 from stackleaf.sources.snapshots import Versioned
 from stackleaf.sources.tables import MAX_BROADCAST_ROWS, small_side
 from stackleaf.sources.vector_index import VectorIndex
@@ -47,6 +52,10 @@ CHUNK_SCHEMA = (
     "pipeline_config_hash string, batch_id bigint"
 )
 
+# Types of the ledger's fields.
+ENTRY_TYPES = {
+    name: kind for name, kind in (field.strip().split(" ") for field in lg.EVENT_SCHEMA.split(",")) if name in lg.ENTRY_COLUMNS
+}
 # Size of the files that compaction makes; files below half of it are packed again.
 PACKED_BYTES = 256 << 20
 
@@ -312,6 +321,37 @@ class Corpus:
         self.append_events(events, batch_id)
         return self.batch_events(batch_id).select(*lg.ENTRY_COLUMNS)
 
+    # -- generations -----------------------------------------------------------
+
+    def activate(self, config: str, number: int) -> None:
+        """Make ``config`` the generation that ``active`` names, as step ``number``. A
+        number that is taken stays as it is."""
+        claim(self.spark, self._path(f"generations/{number:012d}.json"), json.dumps({"config": config}))
+
+    def active(self) -> str | None:
+        """The generation readers should open: that of the highest step; None before the first."""
+        found = names(self.spark, self._path("generations"), ".json")
+        return json.loads(text_of(self.spark, self._path(f"generations/{found[-1]}")))["config"] if found else None
+
+    def batches_done(self, first: int, end: int) -> DataFrame:
+        """``batch_id`` of the batches from ``first`` up to before ``end`` with ledger entries."""
+        return self._ledger().where((F.col("batch_id") >= first) & (F.col("batch_id") < end)).select("batch_id").distinct()
+
+    def write_rechunk_plan(self, entries: DataFrame, number: int, batches: int) -> tuple[DataFrame, int]:
+        """Write down which entries are to be chunked again in which batch."""
+        path = self._path(f"rechunk/{number}-{uuid.uuid4().hex[:12]}")
+        entries.write.partitionBy("batch_id").parquet(path)
+        claim(self.spark, self._path(f"rechunk/{number:012d}.json"), json.dumps({"path": path, "batches": batches}))
+        return self.rechunk_plan(number)
+
+    def rechunk_plan(self, number: int) -> tuple[DataFrame, int] | None:
+        """(entries with their batch, number of batches) of a job that was begun."""
+        if f"{number:012d}.json" not in names(self.spark, self._path("rechunk"), ".json"):
+            return None
+        plan = json.loads(text_of(self.spark, self._path(f"rechunk/{number:012d}.json")))
+        schema = ", ".join(f"{c} {t}" for c, t in ENTRY_TYPES.items()) + ", batch_id bigint"
+        return self.spark.read.schema(schema).parquet(plan["path"]), plan["batches"]
+
     def compact_to(self, target: str, configs: Sequence[str] | None = None) -> "Corpus":
         """Rewrite the live part of the corpus to another folder (a table must
         not be overwritten while it is read). With ``configs``, generations

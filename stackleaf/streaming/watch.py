@@ -1,17 +1,21 @@
 """Follow a folder: every new file goes through the ingest job once.
 
-The file source remembers which paths it has seen, so a file edited in place
-is not read again. Run the batch job over the folder now and then (or at
-start) to pick such edits up; it skips everything that is unchanged.
+``start`` uses Spark's file source, which remembers the paths it has seen, so a file
+edited in place is not read again. ``follow`` sees edits too: the listing of the folder
+(path, time, length) is its state, and each trigger ingests what differs from
+it. It catches up first, then watches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stackleaf.plans.ingest import Ingest
-from stackleaf.sources.files import SUPPORTED_GLOB
+from stackleaf.sources.files import SUPPORTED_GLOB, scan_folder, scan_paths
 from stackleaf.sources.store import Corpus
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -48,3 +52,75 @@ def start(
     if continuous:
         return writer.trigger(processingTime=interval).start()
     return writer.trigger(availableNow=True).start()
+
+
+LISTING = "path string, modificationTime timestamp, length bigint"
+# Files of one ingest batch; further ones go in the batches after it.
+MAX_FILES = 10_000
+
+
+class Follower:
+    """A folder and what of it has been ingested, kept in the folder ``state``.
+
+    ``listed`` gives the files there now and ``opened`` the files with the given paths
+    (at most ``max_files``); by default the supported files of ``folder``.
+    """
+
+    def __init__(
+        self,
+        corpus: Corpus,
+        ingest: Ingest,
+        state: str,
+        folder: str | None = None,
+        listed: Callable[[], DataFrame] | None = None,
+        opened: Callable[[list[str]], DataFrame] | None = None,
+        first_batch: int = 1,
+        max_files: int = MAX_FILES,
+    ) -> None:
+        spark = corpus.spark
+        self.corpus, self.ingest, self.state = corpus, ingest, state.rstrip("/")
+        self.listed = listed or (lambda: scan_folder(spark, folder))
+        self.opened = opened or (lambda paths: scan_paths(spark, paths))
+        self.first_batch, self.max_files = first_batch, max_files
+        empty = spark.createDataFrame([], LISTING + ", batch_id bigint")
+        empty.write.mode("ignore").partitionBy("batch_id").parquet(self.state)
+
+    def seen(self) -> DataFrame:
+        """The listing rows ingested so far, by batch."""
+        return self.corpus.spark.read.schema(LISTING + ", batch_id bigint").parquet(self.state)
+
+    def changed(self) -> DataFrame:
+        """Files that are new or differ in time or length from when they were ingested.
+        File contents are not read."""
+        names = ["path", "modificationTime", "length"]
+        return self.listed().select(*names).join(self.seen().select(*names), names, "left_anti")
+
+    def catch_up(self) -> int:
+        """Ingest all that has changed; the number of batches it took.
+
+        Changes are taken in the order of their time, at most ``max_files`` a
+        batch, until none is left. The state is written after the ledger, so a
+        batch that was lost is made again under its number, which
+        overwrites what it had written."""
+        names = ["path", "modificationTime", "length"]
+        done = 0
+        while True:
+            last = self.seen().agg(F.max("batch_id")).first()[0]
+            batch_id = self.first_batch if last is None else last + 1
+            taken = self.changed().orderBy("modificationTime", "path").limit(self.max_files).collect()
+            if not taken:
+                return done
+            self.ingest.run(self.corpus, self.opened([row.path for row in taken]), batch_id)
+            listing = self.corpus.spark.createDataFrame([tuple(row) for row in taken], LISTING).select(*names)
+            listing = listing.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            writer = listing.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("batch_id").parquet(self.state)
+            done += 1
+
+    def follow(self, interval: str = "1 minute") -> StreamingQuery:
+        """Catch up, then keep watching until the query is stopped. Its checkpoint is
+        not needed to go on: the state is the listing."""
+        self.catch_up()
+        ticks = self.corpus.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        writer = ticks.writeStream.foreachBatch(lambda *_: self.catch_up() and None)
+        return writer.trigger(processingTime=interval).start()

@@ -1,5 +1,7 @@
 """Real files: scanning, rejects, and the folder stream."""
 
+import time
+
 from stackleaf.functions import keys
 from stackleaf.operators import ledger as lg
 from stackleaf.plans.ingest import Ingest
@@ -100,3 +102,50 @@ def test_ledger_has_one_row_per_version(spark, tmp_path):
     corpus = store.Corpus(spark, str(tmp_path / "c")).create()
     assert lg.current(corpus.events()).count() == 0
     assert corpus.rejects().count() == 0
+
+
+def test_follow_sees_edits(spark, tmp_path, monkeypatch):
+    """Catch-up, edits in place, more files than a batch takes, a lost driver, and the watch."""
+    folder = tmp_path / "in"
+    put(folder, a__txt=b"one", b__txt=b"bee", c__txt=b"sea", no__bin=b"?")
+    ingest = Ingest(settings=Settings(chunker="plain"), dims=16)
+    corpus = store.Corpus(spark, str(tmp_path / "c")).create()
+    make = lambda: watch.Follower(corpus, ingest, str(tmp_path / "state"), str(folder), first_batch=7, max_files=2)
+    live = lambda: sorted((r.filename, r.text) for r in corpus.chunks(ingest.settings.fingerprint()).collect())
+    assert make().catch_up() == 2
+    assert live() == [("a.txt", "one"), ("b.txt", "bee"), ("c.txt", "sea")]
+    assert make().catch_up() == 0
+    # an edit in place is ingested once
+    put(folder, a__txt=b"one, edited")
+    events = corpus.events().count()
+    assert make().catch_up() == 1
+    assert live()[0] == ("a.txt", "one, edited")
+    assert corpus.events().count() == events + 2
+    assert make().catch_up() == 0
+    # lost after the ledger, before the state: the batch is made again and is the same
+    put(folder, b__txt=b"bee, edited")
+    run = ingest.run
+
+    def lost(*args):
+        run(*args)
+        raise OSError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "run", lost)
+        try:
+            make().catch_up()
+        except OSError:
+            pass
+    events = corpus.events().count()
+    assert make().catch_up() == 1 and corpus.events().count() == events
+    # then the watch takes what comes
+    watching = make().follow("1 second")
+    try:
+        put(folder, d__md=b"dee")
+        for _ in range(60):
+            if len(live()) == 4 or watching.exception():
+                break
+            time.sleep(0.5)
+    finally:
+        watching.stop()
+    assert live() == [("a.txt", "one, edited"), ("b.txt", "bee, edited"), ("c.txt", "sea"), ("d.md", "dee")]
