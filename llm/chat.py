@@ -2,10 +2,10 @@
 
 Messages name the message they reply to. Paths from a root to a leaf are found
 by self-joins that double their reach: after k rounds a message knows its
-ancestor 2**k replies up and the messages between. So a chain of n replies
-takes log2(n) joins, and no task holds more than paths. Leaves are ranked
-inside their tree by the summed scores of their path; each chosen path becomes
-one text.
+ancestor 2**k replies up and the summed scores between, but no message between.
+So a chain of n replies takes log2(n) joins of at most n short rows. Leaves are
+ranked inside their tree by the summed scores of their path; only for the chosen ones the
+messages of the path are then found, by the same joins backwards, and become one text.
 
 The template frames each turn by control strings. Control strings inside a
 text are escaped, so a formatted text can be read back exactly, and the
@@ -15,6 +15,8 @@ characters to learn from are known as spans of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -79,39 +81,61 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
-    """``tree, leaf, score, path`` for each leaf of ``messages(tree, node, parent, score)``.
+class Paths(NamedTuple):
+    """``leaves`` has ``tree, leaf, score``; ``jumps[k]`` has ``tree, node, up``, the
+    ancestor 2**k replies above each message that has one."""
 
-    ``path`` has the nodes from the root to the leaf. A message whose parent is
-    null or not there is a root. Nodes are unique in a tree. A cycle has no
-    root and gives no path.
+    leaves: DataFrame
+    jumps: list[DataFrame]
+
+
+def paths(messages: DataFrame, scratch: Scratch) -> Paths:
+    """The leaves of ``messages(tree, node, parent, score)`` with the summed scores of
+    their paths.
+
+    A message whose parent is null or not there is a root. Nodes are unique in a tree.
+    A cycle has no root and gives no path.
     """
     known = messages.select("tree", F.col("node").alias("parent")).distinct()
     rooted = messages.join(known.withColumn("there", F.lit(True)), ["tree", "parent"], "left")
-    # a piece of path that ends at node; ``up`` is the message before it, and
-    # ``lost`` pieces lead into a cycle
-    pieces = scratch.save(
-        rooted.select(
-            "tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(False).alias("lost"),
-            F.coalesce("score", F.lit(0.0)).alias("score"), F.array("node").alias("path"),
+    # a stretch of path from a message up to before ``up``; without ``up`` it begins at a root
+    level = scratch.save(
+        rooted.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    )
+    parents = level.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
+    rooted_parts, jumps = [level.where("up is null")], [level.where("up is not null")]
+    longest = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    # what has no root after as many rounds as the largest tree could need leads into a cycle
+    for _ in range(longest.bit_length()):
+        if jumps[-1].isEmpty():
+            break
+        above = reduce(DataFrame.unionByName, rooted_parts, jumps[-1]).select(
+            "tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more")
         )
-    )
-    parents = rooted.where("there").select("tree", F.col("parent").alias("node")).distinct()
-    unfinished = "up is not null and not lost"
-    while pieces.where(unfinished).limit(1).count():
-        above = pieces.select(
-            "tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("lost").alias("gone"),
-            F.col("score").alias("more"), F.col("path").alias("head"),
-        )
-        path = F.concat("head", "path")
-        lost = F.col("gone") | F.coalesce(F.array_contains(path, F.col("next")), F.lit(False))
-        longer = pieces.where(unfinished).join(above, ["tree", "up"]).select(
-            "tree", "node", F.col("next").alias("up"), lost.alias("lost"), (F.col("score") + F.col("more")).alias("score"),
-            F.when(lost, F.array("node")).otherwise(path).alias("path"),
-        )
-        pieces = scratch.save(pieces.where(f"not ({unfinished})").unionByName(longer))
-    leaves = pieces.where("up is null and not lost").join(parents, ["tree", "node"], "left_anti")
-    return leaves.select("tree", F.col("node").alias("leaf"), "score", "path")
+        level = scratch.save(
+            jumps[-1].join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"))
+        )
+        rooted_parts.append(level.where("up is null"))
+        jumps.append(level.where("up is not null"))
+    leaves = reduce(DataFrame.unionByName, rooted_parts).join(parents, ["tree", "node"], "left_anti")
+    return Paths(leaves.select("tree", F.col("node").alias("leaf"), "score"), [x.select("tree", "node", "up") for x in jumps])
+
+
+def steps(leaves: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``tree, leaf, score, node, above`` for each message on the path of each of
+    ``leaves(tree, leaf, score)``; ``above`` counts its replies up from the leaf.
+
+    What is known below 2**k replies up is sent 2**k further, so each message of a
+    path is made once."""
+    parts = [leaves.select("tree", "leaf", "score", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))]
+    for k, jump in enumerate(jumps):
+        so_far = reduce(DataFrame.unionByName, parts)
+        further = so_far.join(jump, ["tree", "node"])
+        further = scratch.save(further.select("tree", "leaf", "score", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above")))
+        if further.isEmpty():
+            break
+        parts.append(further)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +174,10 @@ def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:
     one = scratch.save(one.select("tree", "node", "m.*"))
     found = paths(one.select("tree", "node", "parent", "score"), scratch)
     place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    chosen = scratch.save(found.withColumn("place", place).where(F.col("place") <= best).drop("place"))
-    steps = chosen.select("tree", "leaf", "score", F.posexplode("path").alias("at", "node"))
-    turn = F.struct("at", "role", "text")
-    whole = steps.join(one.select("tree", "node", "role", "text"), ["tree", "node"])
-    whole = whole.groupBy("tree", "leaf").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    chosen = scratch.save(found.leaves.withColumn("place", place).where(F.col("place") <= best).drop("place"))
+    way = steps(chosen, found.jumps, scratch).join(one.select("tree", "node", "role", "text"), ["tree", "node"])
+    turn = F.struct((-F.col("above")).alias("at"), "role", "text")
+    whole = way.groupBy("tree", "leaf").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
     span = "array<struct<start:long,end:long>>"
     kind = dict(whole.dtypes)
     return whole.select("tree", "leaf", "score", "turns").mapInArrow(

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from llm import byte_bpe, chat, decontaminate, language, licenses, lm_score, outliers
 from llm.queries import vocabulary_file
+from llm.scratch import Scratch
 from llm.token_counts import TokenTotals, counted
 from tests.llm.conftest import thue_morse
 
@@ -242,6 +243,39 @@ def test_reply_trees(spark):
     assert chat.format_trees(messages.limit(0)).collect() == []
 
 
+def test_reply_trees_by_brute_force(spark):
+    """Random forests with missing parents, cycles and ties; rows made stay linear in a chain."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for tree in range(12):
+        for node in range(40):
+            parent = int(rng.integers(-3, 40)) if tree % 3 == 0 else int(rng.integers(-3, max(1, node)))
+            rows.append((tree, node, parent if parent >= -1 else None, float(rng.integers(0, 3))))
+    of = {(t, n): (p, s) for t, n, p, s in rows}
+    want = {}
+    for tree in range(12):
+        parents = {p for (t, n), (p, _) in of.items() if t == tree}
+        found = []
+        for node in (n for (t, n) in of if t == tree and n not in parents):
+            path, at, total = [], node, 0.0
+            while at is not None and (tree, at) in of and at not in path:
+                path.append(at)
+                total += of[tree, at][1]
+                at = of[tree, at][0]
+            if at is None or (tree, at) not in of:
+                found.append((-total, node, path[::-1]))
+        want |= {(tree, leaf): [str(n) for n in path] for _, leaf, path in sorted(found)[:3]}
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
+    messages = messages.selectExpr("*", "'user' as role", "cast(node as string) as text")
+    got = {(r.tree, r.leaf): [t for _, t in chat.parse(r.formatted)] for r in chat.format_trees(messages, best=3).collect()}
+    assert got == want
+    chain = spark.range(1500).selectExpr("0L as tree", "id as node", "id - 1 as parent", "1.0D as score")
+    found = chat.paths(chain, scratch := Scratch(spark, "chain"))
+    assert all(j.count() <= 1500 for j in found.jumps) and len(found.jumps) == 12
+    way = chat.steps(found.leaves, found.jumps, scratch)
+    assert sorted((r.node, r.above) for r in way.collect()) == [(i, 1499 - i) for i in range(1500)]
+
+
 def brute_statistics(text):
     own = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(own[i : i + 3]) for i in range(len(own) - 2)]
