@@ -221,8 +221,8 @@ class Corpus:
         ``file_bytes``; all other files go over into the new version as they are.
         Which files hold dead chunks is found by one scan of the keys, and no chunk
         is shuffled. Batches without an entry in the ledger are not finished and stay
-        where they are. Batches may run, and runs may be repeated, at any time; of two
-        compactions at once one gives way.
+        where they are, and a packed batch may run again. Of two compactions at once
+        one gives way.
         """
         packed = self._packed()
         base = packed.latest()
