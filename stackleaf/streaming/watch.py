@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stackleaf.plans.ingest import Ingest
 from stackleaf.sources.files import SUPPORTED_GLOB, scan_folder, scan_paths
 from stackleaf.sources.store import Corpus
+from stackleaf.sources.tables import small_side, work_folder
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -55,15 +56,29 @@ def start(
 
 
 LISTING = "path string, modificationTime timestamp, length bigint"
-# Files of one ingest batch; further ones go in the batches after it.
-MAX_FILES = 10_000
+# Up to so many files are opened by a list of their paths, which passes through the driver.
+LISTED_FILES = 10_000
+
+
+def _files_of(taken: DataFrame, folder: str) -> DataFrame:
+    """The files of a listing: few by their paths, many by a scan of the folder that
+    opens those within their span of time and keeps the listed ones."""
+    spark = taken.sparkSession
+    paths = [row.path for row in taken.select("path").limit(LISTED_FILES + 1).collect()]
+    if len(paths) <= LISTED_FILES:
+        return scan_paths(spark, paths)
+    low, high = taken.agg(F.min("modificationTime"), F.max("modificationTime")).first()
+    files = scan_folder(spark, folder).where(F.col("modificationTime").between(low, high))
+    return files.join(small_side(taken.select("path")), "path", "left_semi")
 
 
 class Follower:
     """A folder and what of it has been ingested, kept in the folder ``state``.
 
-    ``listed`` gives the files there now and ``opened`` the files with the given paths
-    (at most ``max_files``); by default the supported files of ``folder``.
+    ``listed`` gives the files there now and ``opened`` the files of a listing, a table
+    with ``path`` and ``modificationTime``; by default the supported files of ``folder``.
+    With ``max_files`` a batch takes no more than that; by default all changes go
+    in one, since an ingest batch may be of any size.
     """
 
     def __init__(
@@ -73,14 +88,14 @@ class Follower:
         state: str,
         folder: str | None = None,
         listed: Callable[[], DataFrame] | None = None,
-        opened: Callable[[list[str]], DataFrame] | None = None,
+        opened: Callable[[DataFrame], DataFrame] | None = None,
         first_batch: int = 1,
-        max_files: int = MAX_FILES,
+        max_files: int | None = None,
     ) -> None:
         spark = corpus.spark
         self.corpus, self.ingest, self.state = corpus, ingest, state.rstrip("/")
         self.listed = listed or (lambda: scan_folder(spark, folder))
-        self.opened = opened or (lambda paths: scan_paths(spark, paths))
+        self.opened = opened or (lambda taken: _files_of(taken, folder))
         self.first_batch, self.max_files = first_batch, max_files
         empty = spark.createDataFrame([], LISTING + ", batch_id bigint")
         empty.write.mode("ignore").partitionBy("batch_id").parquet(self.state)
@@ -99,21 +114,26 @@ class Follower:
         """Ingest all that has changed; the number of batches it took.
 
         Changes are taken in the order of their time, at most ``max_files`` a
-        batch, until none is left. The state is written after the ledger, so a
-        batch that was lost is made again under its number, which
-        overwrites what it had written."""
-        names = ["path", "modificationTime", "length"]
+        batch where that is set, until none is left. The listing of a batch stays a
+        table. The state is written after the ledger, so a batch that was lost is
+        made again under its number, which overwrites what it had written."""
+        spark = self.corpus.spark
         done = 0
         while True:
             last = self.seen().agg(F.max("batch_id")).first()[0]
             batch_id = self.first_batch if last is None else last + 1
-            taken = self.changed().orderBy("modificationTime", "path").limit(self.max_files).collect()
-            if not taken:
+            changed = self.changed()
+            if self.max_files is not None:
+                changed = changed.orderBy("modificationTime", "path").limit(self.max_files)
+            # a listing is taken once, so that what comes meanwhile is left for the next
+            folder = work_folder(spark, "listing")
+            changed.write.parquet(folder)
+            taken = spark.read.schema(LISTING).parquet(folder)
+            if taken.isEmpty():
                 return done
-            self.ingest.run(self.corpus, self.opened([row.path for row in taken]), batch_id)
-            listing = self.corpus.spark.createDataFrame([tuple(row) for row in taken], LISTING).select(*names)
-            listing = listing.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            writer = listing.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            self.ingest.run(self.corpus, self.opened(taken), batch_id)
+            listing = taken.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            writer = listing.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("batch_id").parquet(self.state)
             done += 1
 

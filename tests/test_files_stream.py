@@ -149,3 +149,32 @@ def test_follow_sees_edits(spark, tmp_path, monkeypatch):
     finally:
         watching.stop()
     assert live() == [("a.txt", "one, edited"), ("b.txt", "bee, edited"), ("c.txt", "sea"), ("d.md", "dee")]
+
+
+def test_follow_takes_any_number_of_files_as_one_table(spark, tmp_path, monkeypatch):
+    """A catch-up is one batch whose listing is a table; many files are not opened by a list of paths."""
+    folder = tmp_path / "in"
+    put(folder, a__txt=b"one", b__txt=b"bee", c__txt=b"sea", no__bin=b"?")
+    ingest = Ingest(settings=Settings(chunker="plain"), dims=16)
+    corpus = store.Corpus(spark, str(tmp_path / "c")).create()
+    monkeypatch.setattr(watch, "LISTED_FILES", 2)
+    monkeypatch.setattr(watch, "scan_paths", None)
+    follower = watch.Follower(corpus, ingest, str(tmp_path / "state"), str(folder))
+    assert follower.catch_up() == 1 and follower.catch_up() == 0
+    live = lambda: sorted((r.filename, r.text) for r in corpus.chunks(ingest.settings.fingerprint()).collect())
+    assert live() == [("a.txt", "one"), ("b.txt", "bee"), ("c.txt", "sea")]
+    # one batch of rows that no list could name: more than one batch of 10,000 before
+    rows = spark.range(10_001).selectExpr(
+        "concat('/x/f', id, '.txt') AS path", "timestamp_seconds(id) AS modificationTime", "1L AS length",
+        "cast(concat('text ', id) AS binary) AS content",
+    )
+    asked = []
+
+    def opened(taken):
+        asked.append(taken.count())
+        return rows.join(taken.select("path"), "path", "left_semi")
+
+    made = []
+    monkeypatch.setattr(ingest, "run", lambda corpus, files, batch_id: made.append(files.count()))
+    many = watch.Follower(corpus, ingest, str(tmp_path / "other"), listed=lambda: rows, opened=opened)
+    assert many.catch_up() == 1 and asked == made == [10_001] and many.catch_up() == 0
