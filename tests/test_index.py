@@ -235,3 +235,48 @@ def test_delete_by_pair_and_generation(spark, tmp_path):
     assert corpus.delete_documents(live.select("content_hash"), 4).count() == 3
     with pytest.raises(ValueError):
         corpus.delete_documents(live.selectExpr("filename AS name"), 5)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+@pytest.mark.parametrize("digits", [None, 3])
+def test_estimates_never_lose_a_hit(metric, digits):
+    """Single precision only picks what is measured: ties, zeros, offsets and sizes of all kinds."""
+    rng = np.random.default_rng(4)
+    for kind in range(5):
+        rows = rng.normal(size=(5000, 7)) * 10.0 ** (kind - 2)
+        rows[100:2500] = rows[5]
+        rows[3000:3100] = 0
+        rows += 1000 if kind == 4 else 0
+        asked = np.concatenate([rows[[5, 7, 3000, 4999]], rng.normal(size=(3, 7))])
+        nearest = rt.Nearest(asked, 12, metric, digits)
+        for low in range(0, 5000, 1700):
+            nearest.offer(rows[low : low + 1700], np.arange(low, min(low + 1700, 5000)))
+        # ties of a full list are not held
+        assert nearest.best.held <= 4 * 12 * len(asked) + 100_000
+        q, s, place = nearest.best.cut()
+        for i, question in enumerate(asked):
+            every = rt._pair_scores(rows, np.tile(question, (5000, 1)), metric, digits)
+            want = np.lexsort((np.arange(5000), -every))[:12]
+            assert place[q == i].tolist() == want.tolist() and np.array_equal(s[q == i], every[want])
+
+
+def test_hits_of_a_question_do_not_grow_with_the_tables():
+    """A batch that asks with every vector meets few cells, and no list is longer than a bound."""
+    small, large = (blocked.grid_for(n, n, 64, 12) for n in (100_000, 600_000))
+    assert small == (1, 36) and large == (3, 12)
+    assert blocked.grid_for(3_000_000, 150_000, 26, 12)[0] == 5
+    assert blocked.grid_for(1_000_000, 10, 64, 12) == (36, 1)  # few questions: more cells
+    assert all(256 <= rt.together(k) <= 16384 for k in (1, 10, 80, 100_000))
+
+
+def test_large_batches_search_by_codes_too(spark, tmp_path, monkeypatch):
+    chunks, data = vectors(spark, 300, 8, seed=5)
+    index = VectorIndex(spark, str(tmp_path / "i")).create()
+    index.build(rows_of(chunks), IndexSettings(kind="sq8", nlist=6, refine=2))
+    asked = questions_of(spark, data, 20)
+    few, every = (found(index.search(asked, 5, nprobe=n, digits=6)) for n in (2, 6))
+    monkeypatch.setattr(rt, "MAX_SLICE_BYTES", 10)
+    for n, same in ((2, few), (6, every)):
+        hits = index.search(asked, 5, nprobe=n, digits=6)
+        assert "codes#" in hits._jdf.queryExecution().executedPlan().toString()
+        assert found(hits) == same
