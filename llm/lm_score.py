@@ -8,9 +8,11 @@ the gradient over its own documents, and the results are averaged by the number
 of positions seen. A document's score is the sum of the log-probabilities of
 all of its words.
 
-The vocabulary are the most frequent words of the corpus; all others share
+The network's vocabulary are the most frequent words of the corpus; all others share
 buckets by their hash. The weights have a fixed size, so what is broadcast and
-what a task sends don't grow with the corpus.
+what a task sends don't grow with the corpus. Within its bucket a word has its share
+of the bucket's occurrences, from the counts of all words of the corpus. These stay a
+table, so every word has a probability of its own and they add up to one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.scratch import Scratch
+from llm.scratch import Scratch, small
 from llm.words import BLANK_SEPARATED, blocks, mix
 
 FREQUENT, BUCKETS, CLASS = 960, 64, 32
@@ -36,6 +38,7 @@ RATE = 0.1
 _BATCH = 2048
 # Averages are sums of integers, so they don't depend on the order of the tasks.
 _UNIT = 1 << 24
+_SHARE_UNIT = 1 << 32
 _PAD = WORDS
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 SHAPES = {
@@ -170,19 +173,46 @@ class Numbering:
 
 
 def _tokens(numbering: Numbering):
-    """``(doc_id, seed, ids)``: the word numbers of each text as bytes."""
+    """``(row, doc_id, seed, ids, rare, times)``: the word numbers of each text as bytes,
+    and its words in buckets with how often they occur in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2), BLANK_SEPARATED):
-                numbers = numbering.of(block.hashes(lower=True))
+            for block in blocks(batch.column(3), BLANK_SEPARATED):
+                hashes = block.hashes(lower=True)
+                numbers = numbering.of(hashes)
                 ids = [numbers[a:b].tobytes() for a, b in zip(block.at[:-1], block.at[1:], strict=True)]
-                own = [batch.column(i).slice(block.first, block.texts()) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(ids, pa.binary())], names=["doc_id", "seed", "ids"])
+                own = [batch.column(i).slice(block.first, block.texts()) for i in range(3)]
+                rare = numbers >= FREQUENT
+                text, word, times = _distinct(block.owner()[rare], hashes[rare])
+                at = pa.array(np.searchsorted(text, np.arange(block.texts() + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (word.view(np.int64), times)]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(ids, pa.binary()), *lists], names=["row", "doc_id", "seed", "ids", "rare", "times"]
+                )
 
     return run
 
 
+def _distinct(text: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, by text, and how often each occurs."""
+    order = np.lexsort((word, text))
+    text, word = text[order], word[order]
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (word[1:] != word[:-1])][: len(text)])
+    return text[first], word[first], np.diff(np.r_[first, len(text)])
+
+
+def _shares(counts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``(word, share)``: for each word that shares a bucket, the logarithm of its part of
+    the bucket's occurrences, as an integer."""
+    # the bucket that ``Numbering`` gives
+    bucket = F.shiftrightunsigned("word", 40) % BUCKETS
+    rare = counts.join(F.broadcast(frequent), "word", "left_anti").withColumn("bucket", bucket)
+    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))  # a row a bucket
+    share = F.round(F.ln(F.col("n") / F.col("total")) * F.lit(float(_SHARE_UNIT))).cast("long")
+    return rare.join(F.broadcast(totals), "bucket").select("word", share.alias("share"))
+
+
 def _windows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Some texts at a time: the first text; words between paddings; places of the
     words in them; the text of each word; its place in the text."""
@@ -231,14 +261,14 @@ def _score(weights: np.ndarray):
         w, offsets = shaped(weights), np.array(_OFFSETS)
         for batch in batches:
             total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
-            for first, words, place, owner, _ in _windows(batch.column(1)):
+            for first, words, place, owner, _ in _windows(batch.column(2)):
                 for at in range(0, len(place), 8 * _BATCH):
                     own, text = place[at : at + 8 * _BATCH], owner[at : at + 8 * _BATCH]
                     found = log_probabilities(w, words[own[:, None] + offsets], words[own])
                     total += np.bincount(text + first, weights=found, minlength=len(total))
                     count += np.bincount(text + first, minlength=len(total))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count), pa.array(total)], names=["doc_id", "n_words", "log_likelihood"]
+                [*batch.columns[:2], pa.array(count), pa.array(total)], names=["row", "doc_id", "n_words", "of_ids"]
             )
 
     return run
@@ -255,10 +285,17 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lm")
     counts = docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()["word"].to_numpy()
-    numbering = Numbering(frequent.view(np.uint64))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("seed"), "text")
-    tokens = scratch.save(rows.mapInArrow(_tokens(numbering), "doc_id long, seed long, ids binary"))
+    counts = scratch.save(counts)
+    frequent = scratch.save(counts.orderBy(F.desc("n"), "word").limit(FREQUENT))
+    # the others are not left out: they are scored by their share of a bucket
+    order = frequent.orderBy(F.desc("n"), "word").select("word").toArrow()["word"].to_numpy()
+    numbering = Numbering(order.view(np.uint64))
+    shares = scratch.save(_shares(counts, frequent.select("word")))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("seed"), "text"
+    )
+    kinds = "row long, doc_id long, seed long, ids binary, rare array<long>, times array<long>"
+    tokens = scratch.save(rows.mapInArrow(_tokens(numbering), kinds))
     weights = flat(fresh_weights())
     for turn in range(rounds):
         sent = tokens.select("seed", "ids").mapInArrow(_train(weights, turn), "place int, value long, n long")
@@ -270,5 +307,10 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if found.num_rows:
             weights = weights.copy()
             weights[found["place"].to_numpy()] = found["mean"].to_numpy() / _UNIT
-    made = tokens.select("doc_id", "ids").mapInArrow(_score(weights), "doc_id long, n_words long, log_likelihood double")
-    return made.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_words"))
+    kinds = "row long, doc_id long, n_words long, of_ids double"
+    made = tokens.select("row", "doc_id", "ids").mapInArrow(_score(weights), kinds)
+    met = tokens.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), "w.times")
+    inside = met.join(small(shares, 16), "word").groupBy("row").agg(F.sum(F.col("share") * F.col("times")).alias("inside"))
+    found = F.col("of_ids") + F.coalesce("inside", F.lit(0)) / F.lit(float(_SHARE_UNIT))
+    scored = made.join(inside, "row", "left").select("doc_id", "n_words", found.alias("log_likelihood"))
+    return scored.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_words"))

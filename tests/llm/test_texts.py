@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -384,6 +385,34 @@ def test_lm_gradient_and_training(frame, corpus, empty):
     assert lm_score.score(empty).collect() == []
 
 
+def test_lm_gives_every_word_its_own_probability(spark):
+    """Words beyond the network's vocabulary too: they add up to one, and go by their counts."""
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(i, w) for i, w in enumerate(words) for _ in range(1 + (i < 1100) + 2 * (i == 1300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.log_likelihood for r in lm_score.score(docs, 0).distinct().collect()}
+    assert len(got) == 1500
+    assert abs(sum(np.exp(x) for x in got.values()) - 1) < 1e-5
+    # of two words in one bucket that with more occurrences is likelier, by their ratio
+    mixed = spark.createDataFrame([(1, "w1300 w1301"), (2, "W1301 w1301 w1300"), (3, None)], "doc_id long, text string")
+    both = docs.unionByName(mixed)
+    counts = {w: 0 for w in words}
+    for r in both.where("text IS NOT NULL").collect():
+        for w in r.text.lower().split():
+            counts[w] += 1
+    hashes = lm_score.blocks(pa.array(words), lm_score.BLANK_SEPARATED)
+    of = dict(zip(words, np.concatenate([b.hashes(lower=True) for b in hashes]).tolist()))
+    top = set(sorted(words, key=lambda w: (-counts[w], np.uint64(of[w]).view(np.int64)))[: lm_score.FREQUENT])
+    bucket = {w: (of[w] >> 40) % lm_score.BUCKETS for w in words if w not in top}
+    total = {b: sum(counts[w] for w in bucket if bucket[w] == b) for b in set(bucket.values())}
+    got = {r.doc_id: r.log_likelihood for r in lm_score.score(both, 0).collect() if r.doc_id > 3 or r.n_words != 1}
+    start, shared = lm_score.fresh_weights(), [w for w in bucket if int(w[1:]) > 3]
+    pad = np.full((1, 4), lm_score.WORDS)
+    for w in shared:
+        alone = lm_score.log_probabilities(start, pad, np.array([lm_score.FREQUENT + bucket[w]]))[0]
+        assert abs(got[int(w[1:])] - alone - np.log(counts[w] / total[bucket[w]])) < 1e-5
+
+
 def test_token_totals(spark, tmp_path, frame, corpus, empty):
     totals = TokenTotals(spark, f"file://{tmp_path}/totals")
     assert totals.totals().collect() == []
