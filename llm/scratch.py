@@ -7,30 +7,15 @@ only where that is unset (a local session, tests) one of this machine is taken.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackleaf.sources.tables import work_folder
-
-# Bytes of an Arrow batch of rows on their way to a Python worker. Without a bound on
-# bytes a batch is a whole input split, held by both sides at once.
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+from stackleaf.sources.tables import small_batches, work_folder
 
 # A side is broadcast only if its counted rows times the bytes of a row stay below this.
 BROADCAST_BYTES = 16 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless it has a lower bound already.
-    A longer row is a batch of its own. Results don't depend on it."""
-    size = re.fullmatch(r"(\d+)([kmgtp]?)b?", str(spark.conf.get(_BATCH_SETTING)).lower())
-    if size is None or int(size[1]) << 10 * " kmgtp".find(size[2] or " ") > BATCH_BYTES:
-        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
-
-
 def quoted(name: str) -> str:
     """A column name that may hold dots and the like."""
     return "`" + name.replace("`", "``") + "`"

@@ -404,3 +404,13 @@ def test_answers_and_vectors_are_kept(spark, tmp_path):
         made = enrich.embed(rows, make_embedder, saved=str(tmp_path / "v")).collect()
         assert sorted((r.i, list(r.embedding)) for r in made) == [(1, [2.0]), (2, [3.0]), (3, [2.0])]
     assert sorted(p.read_text() for p in log.iterdir()) == ["p", "p", "q", "xx", "yyy"]
+
+
+def test_embedders_get_bounded_batches(spark):
+    """However large a split is, a worker holds a few texts of it at a time."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 2500, 1, 1).selectExpr("concat(id, repeat(' x', 2000)) AS enriched_text")
+    made = enrich.embed(df, lambda: lambda texts: [[len(texts), t.count("x")] for t in texts], once=False).collect()
+    assert {r.embedding[1] for r in made} == {2000.0} and len(made) == 2500
+    assert max(r.embedding[0] for r in made) <= enrich.EMBEDDED_ROWS
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
