@@ -67,6 +67,15 @@ def test_every_blank_is_stripped_and_splits(spark, ch):
     assert got == (f"a.{ch}b", ["a.", "b"], 2)
 
 
+def test_word_lists_by_whole_classes(spark):
+    solid = [chr(i) for i in range(0x3100) if chr(i) not in tx.BLANKS] + ["\ue000", "\U0001f600"]
+    text = "".join(f"{c}{b}" for c, b in zip(solid, tx.BLANKS * len(solid), strict=False))
+    x = F.col("x")
+    assert one(spark, text, "string", tx.word_list(x), tx.words(x)) == (solid, len(solid))
+    assert one(spark, f" \n{text}\t", "string", tx.word_list(x)) == solid
+    assert one(spark, " \n", "string", tx.word_list(x)) == one(spark, "", "string", tx.word_list(x)) == []
+
+
 def test_clean_and_paragraphs(spark):
     x = F.col("x")
     assert one(spark, "\n a\n\n\n\nb\n\nc \n", "string", tx.clean(x)) == "a\n\nb\n\nc"

@@ -7,6 +7,7 @@ from stackleaf.operators import ledger as lg
 from stackleaf.plans.ingest import Ingest
 from stackleaf.plans.rechunk import rechunk
 from stackleaf.plans.settings import Settings
+from stackleaf.sources.files import BLOCKS
 from stackleaf.sources.store import Corpus
 
 
@@ -71,3 +72,21 @@ def test_rechunk_of_nothing(spark, tmp_path):
     new = ingest(2)
     assert rechunk(corpus, "none", new, 1).count() == 0
     assert corpus.active() == new.settings.fingerprint()
+
+
+def test_saved_parses_can_be_read_in_even_splits(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    corpus = Corpus(spark, str(tmp_path / "corpus")).create()
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.sha2(F.concat("id", i.cast("string")), 256)), " ")
+    fields = ("source_path", "filename", "content_hash", "content_type", "parser", "doc_key")
+    rows = spark.range(0, 1000, 1, 1).select(
+        *[F.col("id").cast("string").alias(f) for f in fields], words.alias("markdown"),
+        F.lit(None).cast(BLOCKS).alias("blocks"), F.lit(None).cast("string").alias("reason"),
+    )
+    corpus.write_parsed(rows, 1)
+    (file,) = (tmp_path / "corpus" / "parsed" / "batch_id=1").glob("*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    sizes = [groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)]
+    assert len(sizes) > 2 and max(sizes) < 16 << 20
+    assert corpus.parsed().count() == 1000
