@@ -1,6 +1,7 @@
 """Search as a blocked product, the stored index, questions in words, deletion."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_retrieve import brute, found, questions_of, vectors
@@ -269,6 +270,74 @@ def test_hits_of_a_question_do_not_grow_with_the_tables():
     assert all(256 <= rt.together(k) <= 16384 for k in (1, 10, 80, 100_000))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_small_cells_share_strips(spark, monkeypatch, metric):
+    """Questions are copied once a strip, not once a cell, and the rows are those of the exact search."""
+    chunks, data = vectors(spark, 2000, 8, seed=6)
+    asked = questions_of(spark, data, 20)
+    plain = found(rt.top_k(chunks, asked, 5, metric, digits=6))
+    dealt = []
+    inner = blocked.top_k_in_cells
+
+    def counted(corpus, questions, *rest, **named):
+        dealt.append((corpus.count(), questions.count()))
+        return inner(corpus, questions, *rest, **named)
+
+    monkeypatch.setattr(blocked, "top_k_in_cells", counted)
+    pairs = chunks.select("chunk_id", "embedding")
+    hits = blocked.top_k_blocked(pairs, asked, 5, metric, 6, cell_bytes=512)  # 250 cells
+    assert found(hits) == plain
+    assert found(blocked.top_k_blocked(pairs.limit(1000), asked, 5, metric, 6, cell_bytes=512)).keys() == plain.keys()
+    most = blocked.TASKS * spark.sparkContext.defaultParallelism
+    assert dealt[0] == (2000, 20 * most) and dealt[1] == (1000, 20 * most)
+    monkeypatch.setattr(blocked, "PART", 2)  # the questions in parts
+    monkeypatch.setattr(blocked, "HELD_BYTES", 1)
+    assert found(blocked.top_k_blocked(pairs, asked, 5, metric, 6, cell_bytes=512)) == plain
+    assert dealt[2][0] == 20_000
+
+
+def test_what_strips_copy_grows_with_the_tables():
+    """One to thirty times the vectors and questions: bytes as the tables, until what a task holds asks for more copies."""
+
+    def copied(n):
+        strips, parts = blocked.strips_for(102_564 * n, 5_129 * n, 64, 10, 6)
+        assert strips * parts >= 18 and 102_564 * n / strips * 512 <= 128 << 20 and 5_129 * n / parts <= 40_000
+        return (strips * 5_129 * (512 + 400) + parts * 102_564 * 256) * n
+
+    assert copied(1) < 0.1e9 and copied(6) <= 6 * copied(1) and copied(30) < 5.5e9
+    assert blocked.strips_for(0, 0, 1, 10, 6) == (1, 1)
+    assert blocked.strips_for(100, 3_000_000, 64, 100_000, 1)[1] == -(-3_000_000 // 256)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_vectors_stream_by_held_questions(monkeypatch, metric):
+    """No more vectors than asked for at a time, ties by id over cells and batches, cells without one of the sides."""
+    rng = np.random.default_rng(7)
+    data, asked = rng.normal(size=(700, 6)).astype(np.float32), rng.normal(size=(11, 6))
+    data[::50], data[300:340] = data[0], 0
+    asked[3], asked[4] = 0, data[0]
+    rows = [(5, 1, None, None, q, list(v)) for q, v in enumerate(asked)] + [(5, 0, f"c{i:04d}", list(map(float, v)), None, None) for i, v in enumerate(data)]
+    rows = [(2, 0, "alone", [1.0] * 6, None, None), *rows, (9, 1, None, None, 99, [1.0] * 6)]
+    schema = pa.schema(
+        [("cell", pa.int64()), ("side", pa.int32()), ("chunk_id", pa.string()), ("embedding", pa.list_(pa.float32())),
+         ("query_id", pa.int64()), ("question", pa.list_(pa.float64()))]
+    )
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    offered, offer = [], rt.Nearest.offer
+    monkeypatch.setattr(rt.Nearest, "offer", lambda self, part, *rest: (offered.append(len(part)), offer(self, part, *rest))[1])
+    monkeypatch.setattr(rt, "together", lambda k: 4)
+    out = pa.Table.from_batches(blocked._stream(9, metric, 6, 16)(iter(table.to_batches(max_chunksize=53)))).to_pylist()
+    assert max(offered) == 16 and sum(offered) == 3 * len(data)
+    assert {r["salt"] for r in out} == {5}
+    for q, v in enumerate(asked):
+        scores = rt._pair_scores(data.astype(float), np.tile(v, (700, 1)), metric, 6)
+        want = [f"c{i:04d}" for i in np.lexsort((np.arange(700), -scores))[:9]]
+        sign = -1 if metric == "l2" else 1
+        own = sorted((r for r in out if r["query_id"] == q), key=lambda r: (-sign * r["score"], r["chunk_id"]))
+        assert [r["chunk_id"] for r in own] == want
+    assert len(out) == 9 * 11
+
+
 def test_large_batches_search_by_codes_too(spark, tmp_path, monkeypatch):
     chunks, data = vectors(spark, 300, 8, seed=5)
     index = VectorIndex(spark, str(tmp_path / "i")).create()
